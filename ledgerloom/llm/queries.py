@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import components, names, topn
+from . import components, names, places, topn
 
-QUERIES = {"p1_found": names.p1_found, "p1_entities": names.p1_entities, "p3_found": components.p3_found, "p4_found": topn.p4_found}
+QUERIES = {
+    "p1_found": names.p1_found,
+    "p1_entities": names.p1_entities,
+    "p3_found": components.p3_found,
+    "p4_found": topn.p4_found,
+    "p5_found": places.p5_found,
+    "p5_spots": places.p5_spots,
+}
 SQL = {"p3_found": components.P3_FOUND_SQL, "p4_found": topn.P4_FOUND_SQL}
