@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import components, names, places, topn
+from . import components, names, places, residue, topn
 
 QUERIES = {
     "p1_found": names.p1_found,
@@ -11,5 +11,6 @@ QUERIES = {
     "p4_found": topn.p4_found,
     "p5_found": places.p5_found,
     "p5_spots": places.p5_spots,
+    "p10_found": residue.p10_found,
 }
 SQL = {"p3_found": components.P3_FOUND_SQL, "p4_found": topn.P4_FOUND_SQL}
