@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import null_safe_join
+from ..operators.skew import lookup
 from ..session import cut, table
 from .names import ACCENTED, PLAIN, one_error, one_out
 
@@ -55,7 +56,7 @@ def tidy(text: Column) -> Column:
 
 
 def taken_apart(writings: DataFrame) -> DataFrame:
-    """``writings`` (address, city, state, zip; tidy) with region, town, zip5, box, number, street, before, suffix, unit.
+    """(id, n, region, town, zip5, number, street, before, suffix, unit) of ``writings`` (id, n, address, city, state, zip; tidy).
 
     A part that the text lacks is NULL. ``street`` is the name without direction and suffix; for a
     post-office box, and for a text in which no street is found, it is the whole of what is left.
@@ -104,14 +105,15 @@ def taken_apart(writings: DataFrame) -> DataFrame:
     region = F.coalesce(region, F.when(end.isin(sorted(STATES.values())), end))
     digits = F.regexp_replace("zip", r"[^0-9]", "")
     zip5 = F.when(F.length(digits) >= 5, F.substring(digits, 1, 5)).when(F.length(digits) == 4, F.lpad(digits, 5, "0"))
-    return df.withColumns({"region": region, "town": F.coalesce(F.nullif(town(F.col("city")), F.lit("")), town(tail)), "zip5": zip5}).drop("t", "w", "parts", "main", "box")
+    return df.withColumns({"region": region, "town": F.coalesce(F.nullif(town(F.col("city")), F.lit("")), town(tail)), "zip5": zip5}).select("id", "n", "region", "town", "zip5", "number", "street", "before", "suffix", "unit")
 
 
 def settle(df: DataFrame, word: str, within: list[str], factor: int) -> DataFrame:
     """(``within``, ``word``, to): spellings of ``word`` that are one error away from one at least ``factor`` times as frequent in the same ``within``."""
     spots = df.where((F.length(word) > 3) & F.col(word).isNotNull()).groupBy(*within, word).agg(F.sum("n").alias("n"))
     spots = cut(spots)
-    parts = spots.select("*", F.explode(one_out(F.col(word))).alias("part"))
+    several = spots.groupBy(*within).agg(F.count("*").alias("words")).where("words > 1").select(*within)
+    parts = spots.join(several, within, "left_semi").select("*", F.explode(one_out(F.col(word))).alias("part"))
     keys = [*within, "part"]
     top = parts.groupBy(*keys).agg(F.max(F.struct("n", F.col(word).alias("word"))).alias("top"), F.count("*").alias("k")).where("k > 1").drop("k")
     better = parts.join(top, keys).where((F.col("top.word") != F.col(word)) & (F.col("top.n") >= factor * F.col("n")) & one_error(F.col(word), F.col("top.word")))
@@ -149,16 +151,16 @@ def matched(df: DataFrame) -> DataFrame:
     homes = placed.where("number <> ''").select("number", "street", "place", F.col("zip5").alias("at")).distinct()
     open_ = df.where("place IS NULL").drop("place")
     near = open_.join(homes, ["number", "street"]).where("region IS NULL OR split_part(place, '|', 1) = region").withColumn("here", F.when(F.col("at") == F.col("zip5"), F.col("place")))
-    one = near.groupBy("address", "city", "state", "zip").agg(F.min("here").alias("here"), F.count_distinct("here").alias("nh"), F.min("place").alias("place"), F.count_distinct("place").alias("k"))
-    one = one.select("address", "city", "state", "zip", F.when(F.col("nh") == 1, F.col("here")).when((F.col("nh") == 0) & (F.col("k") == 1), F.col("place")).alias("place"))
+    one = near.groupBy("id").agg(F.min("here").alias("here"), F.count_distinct("here").alias("nh"), F.min("place").alias("place"), F.count_distinct("place").alias("k"))
+    one = one.select("id", F.when(F.col("nh") == 1, F.col("here")).when((F.col("nh") == 0) & (F.col("k") == 1), F.col("place")).alias("place"))
     alone = F.when(F.col("zip5").isNotNull(), F.concat_ws("|", F.coalesce("region", F.lit("")), F.concat(F.lit("="), "zip5")))
-    late = null_safe_join(open_, one, ["address", "city", "state", "zip"], "left").withColumn("place", F.coalesce("place", alone)).where("place IS NOT NULL")
+    late = open_.join(one, "id", "left").withColumn("place", F.coalesce("place", alone)).where("place IS NOT NULL")
     both = placed.unionByName(late)
     road = [*level, "street"]
-    ways = spots.groupBy(*road).agg(F.min("before").alias("only_before"), F.count_distinct("before").alias("nb"))
-    both = both.join(ways, road, "left").withColumn("before", F.coalesce("before", F.when(F.col("nb") == 1, F.col("only_before")), F.lit(""))).drop("only_before", "nb")
-    kinds = spots.groupBy(*road).agg(F.min("suffix").alias("only_suffix"), F.count_distinct("suffix").alias("ns"))
-    both = both.join(kinds, road, "left").withColumn("suffix", F.coalesce("suffix", F.when(F.col("ns") == 1, F.col("only_suffix")), F.lit(""))).drop("only_suffix", "ns")
+    ways = spots.groupBy(*road).agg(*[f(c).alias(f"{k}_{c}") for c in ("before", "suffix") for k, f in (("a", F.min), ("z", F.max))])
+    both = both.join(ways, road, "left")
+    for c in ("before", "suffix"):
+        both = both.withColumn(c, F.coalesce(c, F.when(F.col(f"a_{c}") == F.col(f"z_{c}"), F.col(f"a_{c}")), F.lit("")))
     return both.withColumn("spot", F.concat_ws("|", "place", "number", "street", "before", "suffix"))
 
 
@@ -177,12 +179,18 @@ def address_records(spark, sf_dir: str) -> DataFrame:
 
 
 def spots(records: DataFrame) -> DataFrame:
-    """(record_key, written, spot, unit) of the records that name a place; blank addresses name none."""
+    """(record_key, w, spot, unit) of the records that name a place; blank addresses name none.
+
+    ``w`` is a hash of the whole address as written. Every way of writing is taken apart once and goes
+    through the levels under a digest instead of its text.
+    """
     fields = ["address", "city", "state", "zip"]
-    records = cut(records.where("address IS NOT NULL"))
-    writings = records.groupBy(*fields).agg(F.count("*").alias("n"))
-    found = matched(localities(cut(taken_apart(writings)))).select(*fields, "spot", "unit")
-    return cut(null_safe_join(records, found, fields).select("record_key", "written", "spot", "unit"))
+    digest = F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in ("written", *fields)])))
+    records = records.where("address IS NOT NULL").withColumn("id", digest)
+    writings = cut(taken_apart(records.groupBy("id", *fields).agg(F.count("*").alias("n"))))
+    members = cut(records.select("record_key", "id", F.xxhash64("written").alias("w")))
+    found = matched(localities(writings)).select("id", "spot", "unit", "n")
+    return cut(lookup(members, "id", found, "n", members.count()).select("record_key", "w", "spot", "unit"))
 
 
 def same_place_pairs(found: DataFrame) -> DataFrame:
@@ -190,15 +198,18 @@ def same_place_pairs(found: DataFrame) -> DataFrame:
 
     Ways of writing are paired first, then their records, so records written alike never meet.
     """
-    ways = found.select("spot", "unit", "written").distinct()
-    a = ways.select("spot", F.coalesce("unit", F.lit("")).alias("unit"), F.col("written").alias("a"))
-    b = a.withColumnRenamed("a", "b")
-    same = a.join(b, ["spot", "unit"]).where("a < b").select("spot", "unit", F.col("unit").alias("unit_b"), "a", "b")
-    none = a.where("unit = ''").join(b.where("unit <> ''").withColumnRenamed("unit", "unit_b"), "spot").where("a <> b").select("spot", "unit", "unit_b", "a", "b")
+    # the street number beside the hash: places whose hashes are the same by chance hardly share it
+    rows = found.select("record_key", "w", F.xxhash64("spot").alias("s"), F.split_part("spot", F.lit("|"), F.lit(3)).alias("number"), F.coalesce("unit", F.lit("")).alias("unit"))
+    at = ["s", "number"]
+    ways = rows.select(*at, "unit", "w").distinct()
+    several = ways.groupBy(*at).agg(F.count("*").alias("k")).where("k > 1").select(*at)
+    ways = cut(ways.join(several, at, "left_semi"))
+    a, b = ways.withColumnRenamed("w", "a"), ways.withColumnRenamed("w", "b")
+    same = a.join(b, [*at, "unit"]).where("a < b").withColumn("unit_b", F.col("unit"))
+    none = a.where("unit = ''").join(b.where("unit <> ''").withColumnRenamed("unit", "unit_b"), at).where("a <> b")
     pairs = same.unionByName(none)
-    rows = found.select("record_key", "spot", F.coalesce("unit", F.lit("")).alias("unit"), "written")
-    one = pairs.join(rows.select("spot", "unit", F.col("written").alias("a"), F.col("record_key").alias("ka")), ["spot", "unit", "a"])
-    two = one.join(rows.select("spot", F.col("unit").alias("unit_b"), F.col("written").alias("b"), F.col("record_key").alias("kb")), ["spot", "unit_b", "b"])
+    one = pairs.join(rows.select(*at, "unit", F.col("w").alias("a"), F.col("record_key").alias("ka")), [*at, "unit", "a"])
+    two = one.join(rows.select(*at, F.col("unit").alias("unit_b"), F.col("w").alias("b"), F.col("record_key").alias("kb")), [*at, "unit_b", "b"])
     return two.select(F.least("ka", "kb").alias("left_key"), F.greatest("ka", "kb").alias("right_key"))
 
 
