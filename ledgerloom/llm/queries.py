@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import components, names, places, residue, topn
+from . import components, crossmatch, mixing, names, packing, places, residue, topn
 
 QUERIES = {
     "p1_found": names.p1_found,
@@ -11,6 +11,12 @@ QUERIES = {
     "p4_found": topn.p4_found,
     "p5_found": places.p5_found,
     "p5_spots": places.p5_spots,
+    "p7_found": crossmatch.p7_found,
+    "p7_matches": crossmatch.p7_matches,
+    "p8_containers": packing.p8_containers,
+    "p8_fill": packing.p8_fill,
+    "p9_mix": mixing.p9_mix,
+    "p9_shares": mixing.p9_shares,
     "p10_found": residue.p10_found,
 }
 SQL = {"p3_found": components.P3_FOUND_SQL, "p4_found": topn.P4_FOUND_SQL}
