@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import drift, shred
+from .operators import drift, entities, graph, shred
 from .plans import network
 
 QUERIES = {
@@ -15,6 +15,6 @@ QUERIES = {
 }
 SQL = {"p2_found": shred.P2_FOUND_SQL}
 
-for module in (network,):
+for module in (network, entities, graph):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
