@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import drift, entities, graph, shred
-from .plans import network
+from .operators import drift, entities, graph, shred, similarity
+from .plans import network, scores
 
 QUERIES = {
     "p2_found": shred.p2_found,
@@ -15,6 +15,6 @@ QUERIES = {
 }
 SQL = {"p2_found": shred.P2_FOUND_SQL}
 
-for module in (network, entities, graph):
+for module in (network, scores, entities, graph, similarity):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
