@@ -24,7 +24,7 @@ def index_parts(df: DataFrame) -> DataFrame:
     board = F.greatest("voting_members_governing_body", "max_board_size")
     given, raised = F.coalesce("grants_and_contributions", F.lit(0.0)), F.coalesce("fundraising_expenses", F.lit(0.0))
     parts = {
-        "board": unit(1 - F.least(board, F.lit(25)) / 25),
+        "board": F.when(board.isNotNull(), unit(1 - F.least(board, F.lit(25)) / 25)),
         "volunteers": F.when(F.coalesce("total_volunteers", F.lit(0)) == 0, 1.0).otherwise(0.0),
         "related_527s": F.when(F.col("num_527s") > 0, 1.0).otherwise(0.0),
         "related_c3s": F.when(F.col("num_c3s") == 0, 1.0).otherwise(0.0),
@@ -79,7 +79,7 @@ def filing_features(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {"index_scores": index_scores, "filing_features": filing_features}
 SQL = {
-    "index_scores": """WITH p AS (SELECT filing_id, greatest(least(1 - least(voting_members_governing_body, 25) / 25, 1), 0) AS board,
+    "index_scores": """WITH p AS (SELECT filing_id, CASE WHEN voting_members_governing_body IS NOT NULL THEN greatest(least(1 - least(voting_members_governing_body, 25) / 25, 1), 0) END AS board,
  CASE WHEN coalesce(total_volunteers, 0) = 0 THEN 1.0 ELSE 0.0 END AS volunteers,
  CASE WHEN total_expenses > 0 AND total_salaries IS NOT NULL THEN greatest(least(1 - total_salaries / total_expenses, 1), 0) END AS salaries,
  CASE WHEN total_expenses > 0 THEN greatest(least(1 - greatest(unrestricted_net_assets_eoy, 0) / (3 * total_expenses), 1), 0) END AS net_assets,
