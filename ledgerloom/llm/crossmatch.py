@@ -100,6 +100,9 @@ def walks(obs: DataFrame, prof: DataFrame) -> DataFrame:
 def token_vectors(sentences: DataFrame) -> dict[str, np.ndarray]:
     """Skip-gram vectors of the tokens: letter triples, common words, states and ZIP areas, all bounded in number."""
     session = sentences.sparkSession
+    sentences = cut(sentences.where(F.size("sentence") > 0))
+    if sentences.isEmpty():
+        return {}
     parts = max(1, session.sparkContext.defaultParallelism)
     model = Word2Vec(vectorSize=DIMENSIONS, windowSize=WINDOW, minCount=1, numPartitions=parts, maxIter=1, stepSize=0.05, seed=SEED, inputCol="sentence", outputCol="v").fit(sentences.repartition(parts))
     return {r.word: r.vector.toArray() for r in model.getVectors().collect()}

@@ -50,6 +50,7 @@ ACCENTED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCY"
 #: A token is common if it stands in at least this share of the cleaned names, and in at least LEAST of them; so there are at most some thousands.
 COMMON, LEAST = 0.002, 20
+LONGEST = 120
 
 
 def written(name: Column) -> Column:
@@ -75,8 +76,12 @@ def singular(token: Column) -> Column:
 
 
 def one_out(word: Column) -> Column:
-    """The word and all that is left of it with one letter out: two words one typing error apart share one of these."""
-    return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
+    """The word and all that is left of it with one letter out: two words one typing error apart share one of these.
+
+    A word of more than ``LONGEST`` letters is no typed word; it stands for itself alone.
+    """
+    parts = F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
+    return F.when(F.length(word) <= LONGEST, parts).otherwise(F.array(word))
 
 
 def one_error(a: Column, b: Column) -> Column:
