@@ -28,8 +28,9 @@ TRIPLES = 1 << 13
 DIMENSIONS, WINDOW, HOPS = 32, 4, 2
 #: Neighbours that a walk can choose from at a value; a random choice of all its records.
 CHOICES = 16
-#: Hash tables, and hyperplanes in each.
-TABLES, PLANES = 24, 11
+#: Hash tables, and hyperplanes in each, for up to PLANES doublings of PER_SLOT names in a state; a further plane and
+#: four further tables for each doubling beyond, so that slots stay as small and names one error apart still meet.
+TABLES, PLANES, PER_SLOT = 24, 11, 8
 #: Candidates below this cosine are not looked at further.
 LEAST_COSINE = 0.5
 SEED = 7
@@ -137,18 +138,20 @@ def vectors(prof: DataFrame, of: dict[str, np.ndarray]) -> DataFrame:
     return prof.select("pid", "grams", F.filter("words", lambda w: ~F.substring(w, 2, 99).isin(FORMS)).alias("words")).mapInArrow(make, "pid long, v array<float>")
 
 
-def hashed(vecs: DataFrame) -> DataFrame:
-    """(pid, slot): one slot (table and signs) per hash table."""
-    planes = np.random.default_rng(SEED).normal(size=(2 * DIMENSIONS, TABLES * PLANES)).astype(np.float32)
-    weights = 1 << np.arange(PLANES)
+def hashed(vecs: DataFrame, most: int) -> DataFrame:
+    """(pid, slot): one slot (table and signs) per hash table, for states of ``most`` names at most."""
+    size = max(PLANES, int(np.ceil(np.log2(max(1, most) / PER_SLOT))))
+    tables = TABLES + 4 * (size - PLANES)
+    planes = np.random.default_rng(SEED).normal(size=(2 * DIMENSIONS, tables * size)).astype(np.float32)
+    weights = 1 << np.arange(size, dtype=np.int64)
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * DIMENSIONS)
-            bits = (v @ planes > 0).reshape(len(v), TABLES, PLANES) @ weights + np.arange(TABLES) * (1 << PLANES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), TABLES)), pa.array(bits.ravel().astype(np.int32))], ["pid", "slot"])
+            bits = (v @ planes > 0).reshape(len(v), tables, size) @ weights + np.arange(tables) * (1 << size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), tables)), pa.array(bits.ravel())], ["pid", "slot"])
 
-    return vecs.mapInArrow(signs, "pid long, slot int")
+    return vecs.mapInArrow(signs, "pid long, slot long")
 
 
 def same_words(a: str, b: str) -> Column:
@@ -195,7 +198,9 @@ def candidate_names(obs: DataFrame, prof: DataFrame, vecs: DataFrame) -> DataFra
     meets itself. ``same`` is the exact check.
     """
     of_state = obs.where("clean IS NOT NULL").select("clean", "state").distinct().join(prof.select("clean", "pid"), "clean").select("pid", "state").distinct()
-    slots = cut(hashed(vecs).join(of_state, "pid").select("pid", "slot", "state"))
+    of_state = cut(of_state)
+    most = of_state.groupBy("state").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    slots = cut(hashed(vecs, most).join(of_state, "pid").select("pid", "slot", "state"))
     one, two = slots.where("state IS NOT NULL"), slots.where("state IS NULL").drop("state")
     met = one.withColumnRenamed("pid", "pa").join(one.withColumnRenamed("pid", "pb"), ["slot", "state"]).where("pa < pb").select("pa", "pb")
     open_ = two.withColumnRenamed("pid", "pa").join(slots.select("slot", F.col("pid").alias("pb")), "slot").where("pa <> pb").select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"))
