@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import drift, entities, graph, shred, similarity
+from .operators import drift, entities, graph, learning, shred, similarity
 from .plans import network, scores
+from .streaming import ingest
 
 QUERIES = {
     "p2_found": shred.p2_found,
@@ -15,6 +16,6 @@ QUERIES = {
 }
 SQL = {"p2_found": shred.P2_FOUND_SQL}
 
-for module in (network, scores, entities, graph, similarity):
+for module in (network, scores, entities, graph, similarity, learning, ingest):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
