@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators import drift, entities, graph, learning, observations, shred, similarity
-from .plans import network, scores, serving
+from .plans import network, orders, scores, serving
 from .streaming import ingest
 
 QUERIES = {
@@ -16,6 +16,6 @@ QUERIES = {
 }
 SQL = {"p2_found": shred.P2_FOUND_SQL}
 
-for module in (network, scores, serving, observations, entities, graph, similarity, learning, ingest):
+for module in (network, orders, scores, serving, observations, entities, graph, similarity, learning, ingest):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
