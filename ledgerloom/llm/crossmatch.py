@@ -192,7 +192,7 @@ def calibrated(pairs: DataFrame) -> tuple[float, float]:
 
 
 def candidate_names(obs: DataFrame, prof: DataFrame, vecs: DataFrame) -> DataFrame:
-    """(pa, pb, cosine, same): pairs of names that meet in a hash table within a state, with exact cosines.
+    """(pa, pb, cosine, same): pairs of names that meet in two hash tables or more within a state, with exact cosines.
 
     Names seen only without a state meet those of all states. Both orders of a pair are one; a name
     meets itself. ``same`` is the exact check.
@@ -202,9 +202,10 @@ def candidate_names(obs: DataFrame, prof: DataFrame, vecs: DataFrame) -> DataFra
     most = of_state.groupBy("state").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     slots = cut(hashed(vecs, most).join(of_state, "pid").select("pid", "slot", "state"))
     one, two = slots.where("state IS NOT NULL"), slots.where("state IS NULL").drop("state")
-    met = one.withColumnRenamed("pid", "pa").join(one.withColumnRenamed("pid", "pb"), ["slot", "state"]).where("pa < pb").select("pa", "pb")
-    open_ = two.withColumnRenamed("pid", "pa").join(slots.select("slot", F.col("pid").alias("pb")), "slot").where("pa <> pb").select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"))
-    pairs = met.unionByName(open_).distinct()
+    met = one.withColumnRenamed("pid", "pa").join(one.withColumnRenamed("pid", "pb"), ["slot", "state"]).where("pa < pb").select("pa", "pb", "slot")
+    open_ = two.withColumnRenamed("pid", "pa").join(slots.select("slot", F.col("pid").alias("pb")), "slot").where("pa <> pb").select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"), "slot")
+    # near names meet in many tables, chance brings most others together in one
+    pairs = met.unionByName(open_).groupBy("pa", "pb").agg(F.min("slot").alias("x"), F.max("slot").alias("y")).where("x < y").select("pa", "pb")
     full = prof.select("pid", F.struct("rare", "bag").alias("k")).join(vecs, "pid")
     both = pairs.join(full.select(F.col("pid").alias("pa"), F.col("k").alias("ka"), F.col("v").alias("va")), "pa").join(full.select(F.col("pid").alias("pb"), F.col("k").alias("kb"), F.col("v").alias("vb")), "pb")
     cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
