@@ -50,7 +50,7 @@ NOTICES = [
 ERROR = rf"(?i)^\W*(?:{_CODE}(?:{'|'.join(ERRORS)})(?: \(code \d{{3}}\))?|{'|'.join(NOTICES)})\W*$"
 CRASH = r"(?i)\btraceback \(most recent call|\b(?:java\.lang\.)?\w+exception at \w|^\W*fatal error: |\"status\": ?\d{3}, ?\"error\""
 #: What stands around a page and is no content of its own.
-FURNITURE = r"(?i)^\W*(?:\(c\)|©|copyright)|all rights reserved|^[^|]{1,30}(?: \| [^|]{1,30})+$|^\W*(?:skip to content|return to the home ?page|loading|please refresh or come back later|try searching instead or contact the webmaster|reload after changing settings|ray [0-9a-f]+|sorry|oops|back|menu)\W*$"
+FURNITURE = r"(?i)^\W*(?:\(c\)|©|copyright)|all rights reserved|^[^|]{1,30}(?: \| [^|]{1,30})+$|^\W*(?:skip to content|return to the home ?page|loading|please refresh or come back later|try searching instead or contact the webmaster|reload after changing settings|ray [0-9a-f]+|reference #[0-9a-f]+|sorry|oops|back|menu)\W*$"
 
 
 def passages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,15 +58,16 @@ def passages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     t = F.regexp_replace(documents[text], r"</?(?i:p|div|h\d|span|br|b|i|em|strong|a|li|ul|td|tr|table|body|html|main|section)(?: [^<>]{0,80})?/?>", "\n")
     t = F.regexp_replace(F.regexp_replace(t, "\u00a0", " "), r"[ \t]+", " ")
     t = F.regexp_replace(t, r"(Loading\.\.\.) ", "$1\n")
-    t = F.regexp_replace(t, r" (?=(?i:home \||privacy \||return to the home ?page|try searching instead|please refresh or|skip to content|reload after changing|ray [0-9a-f]{5,}\b|\(c\) ?\d{4}))", "\n")
+    t = F.regexp_replace(t, r" (?=(?i:home \||privacy \||return to the home ?page|try searching instead|please refresh or|skip to content|reload after changing|ray [0-9a-f]{5,}\b|reference #[0-9a-f]+|\(c\) ?\d{4}))", "\n")
     cut_at = r"\n+|(?<=[.!?])\s+(?=[\p{Lu}\p{Nd}\[({<$%#*@_\"'])"
     return documents.select(documents[key].alias("k"), F.explode(F.split(t, cut_at)).alias("p")).select(F.col("k").alias(key), F.trim("p").alias("passage")).where("passage <> ''")
 
 
 def marked(passage: Column) -> Column:
     """A passage in lower case with slots, quoted slots and numbers as words of their own."""
-    t = F.regexp_replace(passage, rf"[\"“'‘`](?:{SLOT})[\"”'’`]", " zzquoted ")
-    t = F.regexp_replace(t, SLOT, " zzslot ")
+    quoted = F.regexp_replace(passage, rf"[\"“'‘`](?:{SLOT})[\"”'’`]", " zzquoted ")
+    # most passages hold no letter that any slot holds
+    t = F.when(passage.rlike(r"[{<&%*@_\[(]|[xX]{5}"), F.regexp_replace(quoted, SLOT, " zzslot ")).otherwise(passage)
     return F.lower(F.regexp_replace(t, r"\d+", "9"))
 
 
