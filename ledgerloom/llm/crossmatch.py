@@ -2,14 +2,15 @@
 
 Observations become records of a graph record - attribute value - token: names as canonical words and
 hashed letter triples, states, ZIP codes, native identifiers. Random walks over it train skip-gram
-vectors; a name's vector is made of those of its tokens. Names are blocked by state and several
-tables of hyperplane signs, candidates are reranked by their exact cosine, and cosines are calibrated
-to confidences on pairs within one source, where native identifiers tell the truth. An exact check
-of the words that tell organisations apart decides.
+vectors; a name's vector is made of those of its tokens. Names are blocked by state, by the common words
+that must agree, and by several tables of hyperplane signs, candidates are reranked by their exact cosine,
+and cosines are calibrated to confidences on pairs within one source, where native identifiers tell the
+truth. An exact check of the words that tell organisations apart decides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,11 +29,13 @@ TRIPLES = 1 << 13
 DIMENSIONS, WINDOW, HOPS = 32, 4, 2
 #: Neighbours that a walk can choose from at a value; a random choice of all its records.
 CHOICES = 16
-#: Hash tables, and hyperplanes in each, for up to PLANES doublings of PER_SLOT names in a state; a further plane and
-#: four further tables for each doubling beyond, so that slots stay as small and names one error apart still meet.
-TABLES, PLANES, PER_SLOT = 24, 11, 8
-#: Candidates below this cosine are not looked at further.
-LEAST_COSINE = 0.5
+#: Candidates below this cosine are not looked at further; two names at it meet in a slot with probability RECALL at least.
+LEAST_COSINE, RECALL = 0.5, 0.9
+#: A block of names gets so many hyperplanes that a slot holds about this many of them; blocks no larger are compared whole.
+PER_SLOT = 64
+#: For calibration only: hash tables, and hyperplanes in each, for up to PLANES doublings of SPARSE names in a state; a
+#: further plane and four further tables for each doubling beyond.
+TABLES, PLANES, SPARSE = 24, 11, 8
 SEED = 7
 
 
@@ -138,9 +141,36 @@ def vectors(prof: DataFrame, of: dict[str, np.ndarray]) -> DataFrame:
     return prof.select("pid", "grams", F.filter("words", lambda w: ~F.substring(w, 2, 99).isin(FORMS)).alias("words")).mapInArrow(make, "pid long, v array<float>")
 
 
-def hashed(vecs: DataFrame, most: int) -> DataFrame:
-    """(pid, slot): one slot (table and signs) per hash table, for states of ``most`` names at most."""
-    size = max(PLANES, int(np.ceil(np.log2(max(1, most) / PER_SLOT))))
+def tables_of(planes: int) -> int:
+    """Hash tables of so many signs each, for two names at LEAST_COSINE to meet in one of them with probability RECALL."""
+    if not planes:
+        return 1
+    return math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - math.acos(LEAST_COSINE) / math.pi) ** planes)))
+
+
+def hashed(vecs: DataFrame) -> DataFrame:
+    """(pid, block, slot) of (pid, block, planes, v): one slot (table and signs) per hash table of the block's number of planes."""
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normals: dict[int, np.ndarray] = {}
+        for b in batches:
+            pid, block, sizes = (b.column(n).to_numpy() for n in range(3))
+            v = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * DIMENSIONS)
+            for size in map(int, np.unique(sizes)):
+                tables = tables_of(size)
+                if size not in normals:
+                    normals[size] = np.random.default_rng((SEED, size)).normal(size=(2 * DIMENSIONS, tables * size)).astype(np.float32)
+                at = np.flatnonzero(sizes == size)
+                for own in np.array_split(at, max(1, math.ceil(len(at) * tables * max(1, size) / (1 << 22)))):
+                    bits = (v[own] @ normals[size] > 0).reshape(len(own), tables, size) @ (1 << np.arange(size, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(pid[own], tables)), pa.array(np.repeat(block[own], tables)), pa.array(bits.ravel())], ["pid", "block", "slot"])
+
+    return vecs.select("pid", "block", "planes", "v").mapInArrow(signs, "pid long, block long, slot long")
+
+
+def sparsely_hashed(vecs: DataFrame, most: int) -> DataFrame:
+    """(pid, slot): one slot per hash table of small slots, for states of ``most`` names at most."""
+    size = max(PLANES, int(np.ceil(np.log2(max(1, most) / SPARSE))))
     tables = TABLES + 4 * (size - PLANES)
     planes = np.random.default_rng(SEED).normal(size=(2 * DIMENSIONS, tables * size)).astype(np.float32)
     weights = 1 << np.arange(size, dtype=np.int64)
@@ -154,6 +184,17 @@ def hashed(vecs: DataFrame, most: int) -> DataFrame:
     return vecs.mapInArrow(signs, "pid long, slot long")
 
 
+def stem(bag: Column) -> Column:
+    """What ``same_words`` wants alike in two bags, whatever else they hold: all words but organisational forms, first names as initials."""
+    return F.array_join(F.array_sort(F.array_distinct(initials(F.array_except(bag, F.array(*[F.lit(w) for w in FORMS]))))), " ")
+
+
+def letters(word: Column) -> Column:
+    """The letters of a word as bits. A wrong letter turns two bits at most, so words that ``same_words`` takes differ in four at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(bit(c)))
+
+
 def same_words(a: str, b: str) -> Column:
     """The exact check of two names (columns ``a`` and ``b`` with rare and bag): nothing that tells organisations apart differs.
 
@@ -191,26 +232,56 @@ def calibrated(pairs: DataFrame) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def placed(obs: DataFrame, prof: DataFrame) -> DataFrame:
+    """(pid, state): the states of each name, NULL where it is seen without one."""
+    return cut(obs.where("clean IS NOT NULL").select("clean", "state").distinct().join(prof.select("clean", "pid"), "clean").select("pid", "state").distinct())
+
+
+def dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
 def candidate_names(obs: DataFrame, prof: DataFrame, vecs: DataFrame) -> DataFrame:
-    """(pa, pb, cosine, same): pairs of names that meet in two hash tables or more within a state, with exact cosines.
+    """(pa, pb, cosine): pairs of names that meet in a hash table within a state and pass the exact check, with exact cosines.
 
-    Names seen only without a state meet those of all states. Both orders of a pair are one; a name
-    meets itself. ``same`` is the exact check.
+    Names seen only without a state meet those of all states. Both orders of a pair are one. Only
+    names with the same ``stem`` meet: the exact check takes no others.
+    """
+    keys = prof.where("rare <> ''").select("pid", stem(F.col("bag")).alias("stem"))
+    members = cut(placed(obs, prof).join(keys, "pid"))
+    lone = members.where("state IS NULL").select("pid", "stem")
+    home = members.where("state IS NOT NULL").select("pid", F.xxhash64("state", "stem").alias("block"), F.lit(True).alias("asks"))
+    # in the blocks over all states only names without a state look for others
+    wide = members.select("pid", "stem").distinct().join(lone.select("stem").distinct(), "stem").join(lone.select("pid", F.lit(True).alias("asks")), "pid", "left")
+    rows = cut(home.unionByName(wide.select("pid", F.xxhash64(F.lit("*"), "stem").alias("block"), F.coalesce("asks", F.lit(False)).alias("asks"))))
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PER_SLOT))).cast("int").alias("planes"))
+    slots = hashed(rows.join(sizes, "block").join(vecs, "pid"))
+    slots = slots.join(rows, ["pid", "block"]).join(prof.select("pid", letters(F.col("rare")).alias("letters")), "pid")
+    slots = cut(slots.select("pid", "asks", "letters", F.xxhash64("block", "slot").alias("slot")))
+    a = slots.where("asks").select("slot", F.col("pid").alias("pa"), F.col("letters").alias("la"))
+    b = slots.select("slot", F.col("pid").alias("pb"), F.col("letters").alias("lb"), "asks")
+    near = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) <= 4
+    pairs = a.join(b, "slot").where("pa < pb OR pa > pb AND NOT asks").where(near).select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb")).distinct()
+    key = prof.select("pid", F.struct("rare", "bag").alias("k"))
+    same = cut(pairs.join(key.select(F.col("pid").alias("pa"), F.col("k").alias("ka")), "pa").join(key.select(F.col("pid").alias("pb"), F.col("k").alias("kb")), "pb").where(same_words("ka", "kb")).select("pa", "pb"))
+    both = same.join(vecs.select(F.col("pid").alias("pa"), F.col("v").alias("va")), "pa").join(vecs.select(F.col("pid").alias("pb"), F.col("v").alias("vb")), "pb")
+    return both.select("pa", "pb", dot("va", "vb").alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+
+
+def rated_names(obs: DataFrame, prof: DataFrame, vecs: DataFrame) -> DataFrame:
+    """(pa, pb, cosine): pairs of any names for calibration, those that meet in two tables of small slots within a state.
+
+    Whether two names meet depends on their cosine alone, so at each cosine they are a fair sample.
     """
-    of_state = obs.where("clean IS NOT NULL").select("clean", "state").distinct().join(prof.select("clean", "pid"), "clean").select("pid", "state").distinct()
-    of_state = cut(of_state)
+    of_state = placed(obs, prof)
     most = of_state.groupBy("state").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    slots = cut(hashed(vecs, most).join(of_state, "pid").select("pid", "slot", "state"))
+    slots = cut(sparsely_hashed(vecs, most).join(of_state, "pid").select("pid", "slot", "state"))
     one, two = slots.where("state IS NOT NULL"), slots.where("state IS NULL").drop("state")
     met = one.withColumnRenamed("pid", "pa").join(one.withColumnRenamed("pid", "pb"), ["slot", "state"]).where("pa < pb").select("pa", "pb", "slot")
     open_ = two.withColumnRenamed("pid", "pa").join(slots.select("slot", F.col("pid").alias("pb")), "slot").where("pa <> pb").select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"), "slot")
-    # near names meet in many tables, chance brings most others together in one
     pairs = met.unionByName(open_).groupBy("pa", "pb").agg(F.min("slot").alias("x"), F.max("slot").alias("y")).where("x < y").select("pa", "pb")
-    full = prof.select("pid", F.struct("rare", "bag").alias("k")).join(vecs, "pid")
-    both = pairs.join(full.select(F.col("pid").alias("pa"), F.col("k").alias("ka"), F.col("v").alias("va")), "pa").join(full.select(F.col("pid").alias("pb"), F.col("k").alias("kb"), F.col("v").alias("vb")), "pb")
-    cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    both = both.withColumn("cosine", cosine).where(F.col("cosine") >= LEAST_COSINE)
-    return both.select("pa", "pb", "cosine", same_words("ka", "kb").alias("same"))
+    both = pairs.join(vecs.select(F.col("pid").alias("pa"), F.col("v").alias("va")), "pa").join(vecs.select(F.col("pid").alias("pb"), F.col("v").alias("vb")), "pb")
+    return both.select("pa", "pb", dot("va", "vb").alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
 
 
 def matches(df: DataFrame) -> DataFrame:
@@ -222,10 +293,9 @@ def matches(df: DataFrame) -> DataFrame:
     obs = cut(observations(df))
     prof = profiles(obs)
     vecs = cut(vectors(prof, token_vectors(walks(obs, prof))))
-    found = cut(candidate_names(obs, prof, vecs))
     named = cut(obs.where("clean IS NOT NULL").select("entity", "source", "clean").distinct().join(prof.select("clean", "pid"), "clean").select("entity", "source", "pid").distinct())
-    slope, offset = calibrated(_within(found, named))
-    good = found.where("same").select("pa", "pb", "cosine")
+    slope, offset = calibrated(_within(rated_names(obs, prof, vecs), named))
+    good = cut(candidate_names(obs, prof, vecs))
     itself = prof.select(F.col("pid").alias("pa"), F.col("pid").alias("pb"), F.lit(1.0).alias("cosine"))
     # readings of one cleaned name are one name
     twins = prof.select("clean", F.col("pid").alias("pa")).join(prof.select("clean", F.col("pid").alias("pb")), "clean").where("pa < pb").select("pa", "pb", F.lit(1.0).alias("cosine"))
@@ -249,7 +319,7 @@ def matches(df: DataFrame) -> DataFrame:
 
 
 def _within(found: DataFrame, named: DataFrame) -> DataFrame:
-    """Candidate pairs of names that one source has: the same organisation if some entity bears both."""
+    """Pairs of names that one source has: the same organisation if some entity bears both."""
     owners = named.groupBy("source", "pid").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
     a = owners.select("source", F.col("pid").alias("pa"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
     b = owners.select("source", F.col("pid").alias("pb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,22 @@ def test_matches_across_sources(spark):
 def test_nothing_to_match(spark):
     df = spark.createDataFrame([(1, "LDA", None, None, None, None, None)], OBS)
     assert crossmatch.observation_pairs(df, crossmatch.matches(df)).count() == 0
+
+
+def test_near_names_meet_down_to_the_least_cosine(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("BCDFGHJKLMNPQRSTVWXZ"), 9)) for _ in range(400)]
+    one = rng.normal(size=(400, 2 * crossmatch.DIMENSIONS))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    off = rng.normal(size=one.shape)
+    off -= (off * one).sum(1, keepdims=True) * one
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    both = np.stack([one, 0.6 * one + 0.8 * off], 1).reshape(800, -1)
+    rares = [r for w in words for r in (w, w[:4] + "A" + w[5:])]
+    prof = spark.createDataFrame([(k, r, r, ["FUND"]) for k, r in enumerate(rares)], "pid long, clean string, rare string, bag array<string>")
+    vecs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(both)], "pid long, v array<float>")
+    got = {(r.pa, r.pb) for r in crossmatch.candidate_names(spark.createDataFrame([(r, "OH" if k % 3 else None) for k, r in enumerate(rares)], "clean string, state string"), prof, vecs).collect()}
+    # of the names without a state each meets all; the others meet within the state
+    want = {(2 * k, 2 * k + 1) for k in range(400)}
+    assert len(got & want) >= 0.9 * len(want)
+    assert got <= want
