@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from ..session import cut, table
 
 #: Betweenness keeps the graph in each task; it is for bounded graphs such as top-edge excerpts.
 MOST_EDGES = 200_000
+#: Edges that seed_proximity keeps in each task.
+MOST_HELD = 1_000_000
+#: Personalised ranks have settled when no seed's ranks change by more in sum (by a millionth for each node, in graphs below 100 nodes).
+SETTLED = 1e-4
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -109,14 +114,69 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     return nodes.join(sums, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def seed_proximity(edges: DataFrame, seeds: list, rounds: int = 20) -> DataFrame:
-    """(node, proximity): personalised ranks from each seed summed, without a seed's own rank for itself."""
-    total = None
-    for s in seeds:
-        one = edges.sparkSession.createDataFrame([(s,)], "node string")
-        ranks = pagerank(edges, rounds, restart=one, weighted=True).where(F.col("node") != s)
-        total = ranks if total is None else total.unionByName(ranks)
-    return total.groupBy("node").agg(F.sum("rank").alias("proximity"))
+def seed_proximity(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, most: int = MOST_HELD) -> DataFrame:
+    """(node, proximity): personalised ranks from each seed (column ``node``), run until they settle, summed without a seed's own rank for itself.
+
+    Ranks follow the weights of edges; a node whose edges out have no weight has none. Up to ``most``
+    edges the graph is kept in each task and the seeds are dealt to tasks; beyond, the ranks of all
+    seeds go through the rounds as one table.
+    """
+    e = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
+    nodes = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    out = e.groupBy("src").agg(F.sum("w").alias("total")).where("total > 0")
+    parts = cut(e.where("w > 0").join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("part")))
+    seeds = cut(seeds.select("node").distinct().join(nodes, "node", "left_semi"))
+    settled = min(nodes.count() * 1e-6, SETTLED)
+    run = _held_ranks if parts.count() <= most else _joined_ranks
+    sums = run(parts, nodes, seeds, damping, settled)
+    return nodes.join(sums, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("proximity"))
+
+
+def _held_ranks(parts: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float, settled: float) -> DataFrame:
+    """(node, p): sums of the seeds' ranks; the graph goes to every task, which ranks its seeds one by one."""
+    names = np.sort(nodes.toPandas()["node"].to_numpy())
+    links = parts.toPandas()
+    src, dst = np.searchsorted(names, links["src"].to_numpy()), np.searchsorted(names, links["dst"].to_numpy())
+    order = np.argsort(dst, kind="stable")
+    held = parts.sparkSession.sparkContext.broadcast((names, src[order], dst[order], damping * links["part"].to_numpy()[order]))
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, src, dst, part = held.value
+        ends = np.setdiff1d(np.arange(len(names)), src)
+        total = np.zeros(len(names))
+        for batch in batches:
+            for own in np.searchsorted(names, batch["node"].to_numpy()):
+                ranks = np.zeros(len(names))
+                ranks[own] = change = 1.0
+                while change >= settled:
+                    after = np.bincount(dst, ranks[src] * part, len(names))
+                    after[own] += 1 - damping + damping * ranks[ends].sum()
+                    change = np.abs(after - ranks).sum()
+                    ranks = after
+                ranks[own] = 0.0
+                total += ranks
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"node": names[some], "p": total[some]})
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    dealt = seeds.repartition(max(1, seeds.sparkSession.sparkContext.defaultParallelism) * 2)
+    return dealt.mapInPandas(ranked, f"node {kind}, p double").groupBy("node").agg(F.sum("p").alias("p"))
+
+
+def _joined_ranks(parts: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float, settled: float) -> DataFrame:
+    """(node, p): sums of the seeds' ranks, by rounds over one table (seed, node, rank)."""
+    ends = cut(nodes.join(parts.select(F.col("src").alias("node")), "node", "left_anti"))
+    ranks = seeds.select(F.col("node").alias("seed"), "node", F.lit(1.0).alias("rank"))
+    while True:
+        lost = ranks.join(ends, "node", "left_semi").groupBy("seed").agg(F.sum("rank").alias("lost"))
+        back = seeds.withColumnRenamed("node", "seed").join(lost, "seed", "left").select("seed", F.col("seed").alias("node"), (1 - damping + damping * F.coalesce("lost", F.lit(0.0))).alias("rank"))
+        got = ranks.withColumnRenamed("node", "src").join(parts, "src").select("seed", F.col("dst").alias("node"), (damping * F.col("rank") * F.col("part")).alias("rank"))
+        after = cut(got.unionByName(back).groupBy("seed", "node").agg(F.sum("rank").alias("rank")))
+        moved = after.unionByName(ranks.withColumn("rank", -F.col("rank"))).groupBy("seed", "node").agg(F.abs(F.sum("rank")).alias("d"))
+        change = moved.groupBy("seed").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0.0
+        ranks = after
+        if change < settled:
+            return ranks.where("node <> seed").groupBy("node").agg(F.sum("rank").alias("p"))
 
 
 def _edges(spark, sf_dir: str) -> DataFrame:
@@ -147,10 +207,9 @@ def grant_betweenness(spark, sf_dir: str) -> DataFrame:
 
 
 def conduit_proximity(spark, sf_dir: str) -> DataFrame:
-    """Proximity to the five EINs that give most."""
-    e = cut(_edges(spark, sf_dir))
-    seeds = [r.src for r in e.groupBy("src").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "src").limit(5).collect()]
-    return seed_proximity(e, seeds, 5)
+    """Proximity to the EINs of all politically active filers."""
+    seeds = table(spark, sf_dir, "irs990_filings").where("political_activity_flag = 1 AND ein IS NOT NULL").select(F.col("ein").alias("node"))
+    return seed_proximity(_edges(spark, sf_dir), seeds)
 
 
 QUERIES = {f.__name__: f for f in (grant_pagerank, grant_components, grant_communities, top_edges, grant_betweenness, conduit_proximity)}

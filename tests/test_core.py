@@ -96,6 +96,28 @@ def test_graph_operators(spark):
     assert dict(rows(graph.betweenness(edges(spark, [("a", "b"), ("b", "c")])))) == {"a": 0.0, "b": 1.0, "c": 0.0}
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_proximity_settles_for_all_seeds(spark, most):
+    # x - y without weight: x has no way on; z is no seed's neighbour
+    data = [("a", "b", 3.0), ("a", "c", 1.0), ("b", "a", 2.0), ("c", "d", 5.0), ("d", "a", 1.0), ("d", "x", 1.0), ("x", "y", 0.0), ("z", "z", 1.0)]
+    e = spark.createDataFrame(data, "src string, dst string, weight double")
+    got = dict(rows(graph.seed_proximity(e, spark.createDataFrame([("a",), ("x",), ("none",)], "node string"), most=most)))
+    step = {"a": {"b": 0.75, "c": 0.25}, "b": {"a": 1.0}, "c": {"d": 1.0}, "d": {"a": 0.5, "x": 0.5}, "x": {}, "y": {}, "z": {"z": 1.0}}
+    want = dict.fromkeys(step, 0.0)
+    for s in ("a", "x"):
+        ranks = {s: 1.0}
+        for _ in range(400):
+            after = dict.fromkeys(step, 0.0)
+            for n, r in ranks.items():
+                for m, part in (step[n] or {s: 1.0}).items():
+                    after[m] += 0.85 * r * part
+            after[s] += 0.15
+            ranks = after
+        for n, r in ranks.items():
+            want[n] += r * (n != s)
+    assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_term_cosine(spark):
     df = spark.createDataFrame([("x", "clean water for rivers"), ("y", "clean water for rivers"), ("z", "tax reform"), ("n", None)], "k string, t string")
     w = similarity.term_weights(df, "k", "t")
