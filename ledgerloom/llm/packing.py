@@ -1,8 +1,8 @@
-"""Problem 8: filling fixed-capacity containers, by hierarchical packing over several context sizes.
+"""Problem 8: filling fixed-capacity containers, by best-fit decreasing over the lengths of items.
 
-Items are routed to tiers of halved context sizes by their length. Containers are opened by the
-longest items left; what is free in them is filled from the same tier and then from shorter ones,
-always with the longest item that fits. The plan is made on the histogram of lengths, which has at
+Containers are opened by the longest items left; what is free in them is filled with the longest
+item that fits. That takes from the tier of the opening item (tiers are halved context sizes) before
+shorter ones; tiers are not packed one by one, an item's tier is a label. The plan is made on the histogram of lengths, which has at
 most as many rows as a container has tokens, however many items there are: it says how often each
 filling pattern is used. Every item then finds its container from its place among the items of its
 length. Containers are dealt to step groups in turn by cost, so that groups cost about the same.
