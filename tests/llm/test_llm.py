@@ -213,6 +213,19 @@ def test_mix_meets_targets_within_caps(spark):
     assert mixing.mixed(docs.limit(0), targets).count() == 0
 
 
+def test_mix_counts_documents_without_source(spark):
+    words = {"a": "river water cleanup", "b": "tax budget revenue"}
+    data = [(n, f"{words[s]} {n}" * (1 + n % 5), s if n % 3 else None) for n, s in enumerate(["a"] * 600 + ["b"] * 300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("m", "a", 0.6, 1, 0.4), ("m", "b", 0.4, 1, 0.4)], "mix_name string, source string, target_share double, max_repeats int, budget_share double")
+    taken = mixing.mixed(docs, targets)
+    got = {r.source: r for r in mixing.shares(taken, targets, token_counts(docs)).collect()}
+    all_ = taken.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0]
+    assert all_ == sum(r.actual_tokens for r in got.values())
+    for s in "ab":
+        assert got[s].actual_tokens == pytest.approx(got[s].target_tokens, rel=0.03)
+
+
 # matching across sources
 
 OBS = "observation_id long, source_system string, native_identifier string, observed_name string, normalized_name string, state string, zip_code string"
