@@ -13,8 +13,9 @@ QUERIES = {
     "p6_found": drift.p6_found,
     "p6_table": drift.p6_table,
     "p6_failed_casts": drift.p6_failed_casts,
+    "p6_paths": drift.p6_paths,
 }
-SQL = {"p2_found": shred.P2_FOUND_SQL}
+SQL = shred.SQL | drift.SQL
 
 for module in (network, orders, scores, serving, observations, entities, graph, similarity, learning, ingest):
     QUERIES |= module.QUERIES

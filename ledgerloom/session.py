@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -70,3 +71,13 @@ def drop_cuts(spark: SparkSession) -> None:
     """Delete the tables that ``cut`` wrote in this application; results that read them end with it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ledgerloom-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A table of at most so many rows may be broadcast; of narrow rows these are some MB.
+BROADCAST_ROWS = 50_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, written and counted: marked for broadcast if it has at most ``BROADCAST_ROWS`` rows, else joined by shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
