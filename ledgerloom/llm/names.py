@@ -4,8 +4,9 @@ A name is rewritten step by step: accents, agents and brackets go; every token b
 reading (abbreviation, nickname, one typing error away from a common word, cut-off last word); legal
 forms and token order are dropped. What is left is a key: the distinguishing tokens, which are rare
 in the data, and a bag of common words. Keys are then joined by the forms that rewriting rules
-produce (one letter of the rare part left out, organisational form left out, first name as initial),
-and a form counts by its rarity: a rewriting that several different keys share links nothing.
+produce (one letter of the rare part left out, rare tokens in alphabetical order, organisational form
+left out, first name or any rare token as initial), and a form counts by its rarity: one over the number
+of different keys that have it. A rewriting that several different keys share links nothing.
 """
 
 from __future__ import annotations
@@ -48,9 +49,11 @@ LEGAL = ["CO", "INC", "INCORPORATED", "LLC", "LLP", "LTD", "LIMITED", "PLLC"]
 FILLERS = ["A", "AN", "AND", "DR", "FOR", "IN", "MR", "MRS", "MS", "OF", "THE"]
 ACCENTED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCY"
-#: A token is common if it stands in at least this share of the cleaned names, and in at least LEAST of them; so there are at most some thousands.
-COMMON, LEAST = 0.002, 20
-LONGEST = 120
+#: A token is common if it stands in at least this share of all cleaned names, beyond doubt (DOUBT standard errors: what few names
+#: show by chance does not count). So common words are at most some thousands, and the same ones in tables of any size.
+COMMON, DOUBT = 0.002, 3.0
+#: Words of more letters have two halves instead of forms with one letter out.
+LONG = 120
 
 
 def written(name: Column) -> Column:
@@ -76,12 +79,18 @@ def singular(token: Column) -> Column:
 
 
 def one_out(word: Column) -> Column:
-    """The word and all that is left of it with one letter out: two words one typing error apart share one of these.
+    """Forms of a word such that two words one typing error apart share one: all that is left of it with one letter out.
 
-    A word of more than ``LONGEST`` letters is no typed word; it stands for itself alone.
+    For long words, whose forms would grow as the square of their length, a first and a second half: the error is in one of them only.
+    A word has those halves for its own length and its neighbours', since the other may be one letter longer or shorter.
     """
-    parts = F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
-    return F.when(F.length(word) <= LONGEST, parts).otherwise(F.array(word))
+    length = F.length(word)
+    parts = F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, length)))))
+    half = lambda n: F.floor(n / 2).cast("int")
+    head = lambda n: F.concat_ws(":", F.lit("<"), n.cast("string"), F.substring(word, F.lit(1), half(n) - 1))
+    tail = lambda n: F.concat_ws(":", F.lit(">"), n.cast("string"), F.substring(word, length - (n - half(n) - 2) + 1, n))
+    halves = F.flatten(F.transform(F.sequence(length - 1, length + 1), lambda n: F.array(head(n), tail(n))))
+    return F.when(length < LONG, parts).when(length == LONG, F.concat(parts, halves)).otherwise(halves)
 
 
 def one_error(a: Column, b: Column) -> Column:
@@ -90,16 +99,29 @@ def one_error(a: Column, b: Column) -> Column:
     return (d >= 0) & (d <= 1) | (d == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
 
 
+def followed(step: DataFrame, word: str, within: list[str]) -> DataFrame:
+    """(``within``, ``word``, to) with every correction followed to its end, two, four, eight ... steps at a time.
+
+    A correction leads to a more frequent (or as frequent and later) spelling, so there are no circles.
+    """
+    while True:
+        on = step.select(*within, F.col(word).alias("to"), F.col("to").alias("further"))
+        far = cut(step.join(on, [*within, "to"], "left").select(*within, word, F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        step = far.drop("moved")
+        if far.where("moved").isEmpty():
+            return step
+
+
 def token_readings(clean: DataFrame, n: int) -> DataFrame:
     """(token, reading, whole): the canonical reading of each token of ``clean``; ``whole`` = false if it only fits as a cut-off last word.
 
     Tokens without a row are rare: they tell one name from another.
     """
     session = clean.sparkSession
-    counts = clean.select(F.explode(F.array_distinct(F.split("clean", " "))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = cut(clean.select(F.explode(F.array_distinct(F.split("clean", " "))).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
     fixed = dict(ABBREVIATIONS) | {w: k for k, v in NICKNAMES.items() for w in [k, *v.split()]}
     fixed = session.createDataFrame(sorted(fixed.items()), "token string, reading string").withColumn("reading", singular(F.col("reading")))
-    common = counts.where((F.col("n") >= F.lit(max(LEAST, COMMON * n))) & (F.length("token") > 2)).select("token", singular(F.col("token")).alias("reading"), "n")
+    common = counts.where((F.col("n") - DOUBT * F.sqrt("n") >= F.lit(COMMON * n)) & (F.length("token") > 2)).select("token", singular(F.col("token")).alias("reading"), "n")
     common = cut(common.join(F.broadcast(fixed.select("token")), "token", "left_anti"))
     known = session.createDataFrame([(k,) for k in sorted({*NICKNAMES, *FORMS, *DESIGNATIONS, *KNOWN, *ABBREVIATIONS.values()})], "token string").select("token", singular(F.col("token")).alias("reading"), F.lit(0).alias("n"))
     words = common.unionByName(known).groupBy("token").agg(F.first("reading").alias("reading"), F.max("n").alias("n"))
@@ -107,7 +129,7 @@ def token_readings(clean: DataFrame, n: int) -> DataFrame:
     long = rest.where(F.length("token") > 2).withColumn("part", F.explode(one_out(F.col("token"))))
     parts = words.where(F.length("token") > 3).select(F.col("token").alias("word"), "reading", "n", F.explode(one_out(F.col("token"))).alias("part"))
     near = long.join(F.broadcast(parts), "part").where(one_error(F.col("token"), F.col("word")))
-    near = near.groupBy("token").agg(F.max_by("reading", F.struct("n", "reading")).alias("reading"))
+    near = cut(near.groupBy("token").agg(F.max_by("reading", F.struct("n", "reading")).alias("reading")))
     heads = words.select("reading", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda k: F.substring(F.col("token"), F.lit(1), k))).alias("token"))
     heads = heads.groupBy("token").agg(F.when(F.count_distinct("reading") == 1, F.min("reading")).otherwise("").alias("reading"))
     head = rest.join(near.select("token"), "token", "left_anti").join(heads, "token")
@@ -116,10 +138,11 @@ def token_readings(clean: DataFrame, n: int) -> DataFrame:
 
 
 def name_keys(clean: DataFrame, n: int) -> DataFrame:
-    """(clean, rare, bag): the rare tokens of each cleaned name joined in their order, and its sorted common words.
+    """(clean, rare, parts, bag, spare): the rare tokens of each cleaned name joined in their order, the same apart, and its sorted common words.
 
-    A name without a first name that has a single letter gives one row per reading of it: as an
-    initial (``=X`` in the bag) and as a direction.
+    A name without a first name that has a single letter gives one row per reading of it: as an initial (``=X`` in the
+    bag) and as a direction. ``spare`` readings are initials of names that do not look personal: they count only if a
+    rewriting leads on from them.
     """
     tokens = clean.select("clean", F.posexplode(F.split("clean", " ")).alias("at", "token"), F.size(F.split("clean", " ")).alias("size"))
     tokens = tokens.withColumn("token", F.when((F.col("token") == "CO") & (F.col("at") < F.col("size") - 1), "COUNTY").otherwise(F.col("token")))
@@ -131,9 +154,10 @@ def name_keys(clean: DataFrame, n: int) -> DataFrame:
     reading = F.when(single, F.concat(F.lit("="), "token")).when(F.col("whole") | (F.col("at") == F.col("size") - 1), F.col("reading"))
     read = read.select("clean", F.struct("at", "token", reading.alias("reading")).alias("t"))
     keys = read.groupBy("clean").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    rare = F.array_join(F.transform(F.filter("ts", lambda t: t["reading"].isNull()), lambda t: t["token"]), "")
+    parts = F.transform(F.filter("ts", lambda t: t["reading"].isNull()), lambda t: t["token"])
     bag = F.array_sort(F.transform(F.filter("ts", lambda t: t["reading"] != ""), lambda t: t["reading"]))
-    keys = keys.select("clean", singular(rare).alias("rare"), bag.alias("bag"))
+    keys = keys.select("clean", parts.alias("parts"), bag.alias("bag"))
+    keys = keys.select("clean", singular(F.array_join("parts", "")).alias("rare"), "parts", "bag")
     letters = F.filter("bag", lambda t: t.startswith("="))
     firsts = F.array(*[F.lit(singular_text(k)) for k in NICKNAMES])
     words = F.filter("bag", lambda t: ~t.startswith("="))
@@ -141,8 +165,11 @@ def name_keys(clean: DataFrame, n: int) -> DataFrame:
     turned = F.array_sort(F.concat(words, F.filter(F.transform(letters, lambda t: map_[F.substring(t, 2, 1)]), lambda t: t.isNotNull())))
     kept = F.array_sort(F.concat(words, F.slice(letters, 1, 1)))
     turns = F.exists(letters, lambda t: map_[F.substring(t, 2, 1)].isNotNull())
-    ways = F.when(F.arrays_overlap(words, firsts) | (F.size(letters) == 0), F.array(words)).when(F.arrays_overlap(words, F.array(*[F.lit(x) for x in PERSONAL])), F.when(turns, F.array(kept, turned)).otherwise(F.array(kept))).otherwise(F.array(turned))
-    return keys.select("clean", "rare", F.explode(F.array_distinct(ways)).alias("bag"))
+    way = lambda bag, spare: F.struct(bag.alias("bag"), F.lit(spare).alias("spare"))
+    personal = F.arrays_overlap(words, F.array(*[F.lit(x) for x in PERSONAL]))
+    ways = F.when(F.arrays_overlap(words, firsts) | (F.size(letters) == 0), F.array(way(words, False)))
+    ways = ways.when(personal & turns, F.array(way(kept, False), way(turned, False))).when(personal, F.array(way(kept, False))).otherwise(F.array(way(turned, False), way(kept, True)))
+    return keys.select("clean", "rare", "parts", F.explode(F.array_distinct(ways)).alias("way")).select("clean", "rare", "parts", "way.bag", "way.spare")
 
 
 def singular_text(word: str) -> str:
@@ -160,59 +187,74 @@ def initials(bag: Column) -> Column:
 
 
 def settle_rare(keys: DataFrame) -> DataFrame:
-    """``keys`` with a typing error in the rare part put right: the most frequent spelling one error away, among names with the same other words."""
+    """``keys`` with a typing error or another order of the rare part put right, and ``score`` = 1 / number of spellings it could be put right to.
+
+    A spelling (its rare tokens as written, and in alphabetical order) becomes the most frequent one at most one error
+    away, among names with the same other words. All spellings that share a form are compared, corrections are followed to their ends.
+    """
     stem = F.array_join(_without(initials(F.col("bag")), [*FORMS, *DESIGNATIONS]), " ")
     keys = keys.withColumn("stem", stem)
-    spots = cut(keys.where(F.length("rare") > 4).groupBy("rare", "stem").agg(F.sum("n").alias("n")))
-    parts = spots.select("*", F.explode(one_out(F.col("rare"))).alias("part")).withColumn("h", F.xxhash64("part", "stem"))
-    # a spelling is compared only with the one or two best under each form, not with all of a group
-    top = parts.groupBy("h").agg(F.max(F.struct("n", "rare", "stem")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    better = parts.join(top.select("h", "top"), "h").where("top.rare <> rare AND top.stem = stem AND top.n >= n")
-    better = better.where(one_error(F.col("rare"), F.col("top.rare")))
-    best = better.groupBy("rare", "stem").agg(F.max("top").alias("top")).where("top.n > 0")
-    best = best.select("rare", "stem", F.col("top.rare").alias("to"))
-    # a spelling that is itself put right can't be a target twice over: follow one step more
-    on = best.select(F.col("rare").alias("to"), "stem", F.col("to").alias("further"))
-    best = best.join(on, ["to", "stem"], "left").select("rare", "stem", F.when(F.col("further").isNotNull() & (F.col("further") != F.col("rare")), F.col("further")).when(F.col("further") == F.col("rare"), F.greatest("rare", "to")).otherwise(F.col("to")).alias("to"))
-    return keys.join(best, ["rare", "stem"], "left").withColumn("rare", F.coalesce("to", "rare")).drop("to", "stem")
+    sorted_ = F.array_join(F.array_sort(F.transform("parts", singular)), "")
+    spots = keys.where(F.length("rare") > 4).groupBy("rare", "stem", sorted_.alias("sorted")).agg(F.sum("n").alias("n"))
+    counts = spots.groupBy("rare", "stem").agg(F.sum("n").alias("n"), F.collect_set("sorted").alias("orders"))
+    counts = cut(counts.select("rare", "stem", "n", F.array_distinct(F.concat(F.array("rare"), "orders")).alias("spelt")))
+    forms = counts.select("rare", "stem", "n", F.explode("spelt").alias("spelling")).select("*", F.explode(one_out(F.col("spelling"))).alias("part"))
+    forms = forms.withColumn("h", F.xxhash64("part", "stem"))
+    other = forms.select("h", F.col("rare").alias("to"), F.col("stem").alias("stem_to"), F.col("n").alias("m"), F.col("spelling").alias("like"))
+    better = forms.join(other, "h").where("stem = stem_to AND rare <> to AND (m > n OR m = n AND to > rare)").where(one_error(F.col("spelling"), F.col("like")))
+    best = cut(better.groupBy("rare", "stem").agg(F.max(F.struct("m", "to"))["to"].alias("to"), (1 / F.count_distinct("to")).alias("score")))
+    ends = followed(best.select("rare", "stem", "to"), "rare", ["stem"])
+    fixed = ends.join(best.drop("to"), ["rare", "stem"])
+    return keys.join(fixed, ["rare", "stem"], "left").withColumns({"right": F.coalesce("to", "rare"), "score": F.coalesce("score", F.lit(1.0)), "asis": F.col("to").isNull()}).drop("to", "stem", "rare").withColumnRenamed("right", "rare")
 
 
 def rewritten(keys: DataFrame) -> DataFrame:
-    """For each key (rare, bag) that is a rewriting of just one fuller key: (rare, bag, full).
+    """For each key (rare, bag) that is a rewriting of just one fuller key: (rare, bag, full = its rare part and bag).
 
-    The fuller key's rewritings are: one organisational form left out (not from bodies with a
-    designation of their own), and the first name as an initial. Rarity of a rewriting = 1 / number
+    The fuller key's rewritings are: one organisational form left out (not from bodies with a designation of their own),
+    a listed first name as an initial, and one of several rare tokens as an initial. Rarity of a rewriting = 1 / number
     of different keys that have it; below 1 it tells nothing for certain and links nothing.
     """
-    full = keys.select("rare", "bag").distinct().where("rare <> ''")
+    there = keys.select("rare", "bag").distinct().where("rare <> ''")
+    full = keys.where("NOT spare AND rare <> ''").select("rare", "bag").distinct()
     own = ~F.arrays_overlap("bag", F.array(*[F.lit(w) for w in DESIGNATIONS]))
     dropped = F.when(own, F.transform(F.array_intersect("bag", F.array(*[F.lit(w) for w in FORMS])), lambda f: F.when(F.size(F.filter("bag", lambda t: t == f)) > 1, F.array_distinct("bag")).otherwise(F.filter("bag", lambda t: t != f))))
-    short = F.when(~F.exists("bag", lambda t: t.startswith("=")), F.array(initials(F.col("bag"))))
-    made = full.select("rare", F.col("bag").alias("full"), F.explode(F.array_distinct(F.concat(F.coalesce(dropped, F.array().cast("array<array<string>>")), F.coalesce(short, F.array().cast("array<array<string>>"))))).alias("bag")).where("bag <> full AND size(bag) > 0")
-    made = made.join(full, ["rare", "bag"], "left_semi")
+    plain = ~F.exists("bag", lambda t: t.startswith("="))
+    short = F.when(plain, F.array(initials(F.col("bag"))))
+    none = F.array().cast("array<array<string>>")
+    me = F.struct("rare", "bag").alias("full")
+    made = full.select(me, "rare", F.explode(F.array_distinct(F.concat(F.coalesce(dropped, none), F.coalesce(short, none)))).alias("bag")).where("bag <> full.bag AND size(bag) > 0")
+    several = keys.where("asis AND NOT spare AND size(parts) > 1").where(plain).select("rare", "bag", "parts").distinct()
+    one = several.select(me, "bag", "parts", F.posexplode("parts").alias("at", "token")).where(F.length("token") > 1)
+    rest = F.array_join(F.filter("parts", lambda t, n: n != F.col("at")), "")
+    one = one.select("full", singular(rest).alias("rare"), F.array_sort(F.concat("bag", F.array(F.concat(F.lit("="), F.substring("token", 1, 1))))).alias("bag"))
+    made = made.unionByName(one).distinct().join(there, ["rare", "bag"], "left_semi")
     return made.groupBy("rare", "bag").agg(F.min("full").alias("full"), (1 / F.count("*")).alias("rarity")).where("rarity = 1").drop("rarity")
 
 
 def linked_names(names: DataFrame) -> DataFrame:
-    """(name, entity): every name of column ``name`` with the identity that it is a spelling of.
+    """(name, entity, score): every name of column ``name`` with the identity that it is a spelling of, and the rarity of the rewriting that led there.
 
     Names compare as ``written`` gives them; NULL and blank names are left out, repeated ones count
     once. A name of common words only is linked by those words alone.
     """
     counted = names.select(written(F.col("name")).alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
     counted = cut(counted.withColumn("clean", cleaned(F.col("name"))))
-    clean = counted.groupBy("clean").agg(F.sum("n").alias("n")).where("clean <> ''")
+    clean = cut(counted.groupBy("clean").agg(F.sum("n").alias("n")).where("clean <> ''"))
     keys = cut(name_keys(clean, clean.count()).join(clean, "clean"))
     keys = cut(settle_rare(keys))
-    up = rewritten(keys)
-    step = keys.join(up, ["rare", "bag"], "left").withColumn("bag", F.coalesce("full", "bag")).drop("full")
-    step = cut(step.join(up, ["rare", "bag"], "left").select("clean", "rare", F.coalesce("full", "bag").alias("bag"), F.col("full").isNotNull().alias("moved")))
+    up = cut(rewritten(keys))
+    step = keys
+    for n in (1, 2):
+        step = step.join(up, ["rare", "bag"], "left").withColumn(f"moved{n}", F.col("full").isNotNull())
+        step = step.withColumns({"bag": F.coalesce("full.bag", "bag"), "rare": F.coalesce("full.rare", "rare")}).drop("full")
+    step = cut(step.where("NOT spare OR moved1").select("clean", "rare", F.array_join("bag", " ").alias("bag"), "score"))
     # of the readings of one name, the one that other names share
     sizes = step.groupBy("rare", "bag").agg(F.count_distinct("clean").alias("k"))
-    one = step.join(sizes, ["rare", "bag"]).groupBy("clean").agg(F.max(F.struct("k", "rare", F.array_join("bag", " ").alias("bag"))).alias("e"))
+    one = step.join(sizes, ["rare", "bag"]).groupBy("clean").agg(F.max(F.struct("k", "rare", "bag", "score")).alias("e"))
     entity = F.concat_ws("|", "e.rare", "e.bag")
-    alone = counted.where("clean = ''").select("name", F.concat(F.lit("?"), "name").alias("entity"))
-    return counted.join(one, "clean").select("name", entity.alias("entity")).unionByName(alone)
+    alone = counted.where("clean = ''").select("name", F.concat(F.lit("?"), "name").alias("entity"), F.lit(1.0).alias("score"))
+    return counted.join(one, "clean").select("name", entity.alias("entity"), F.round("e.score", 6).alias("score")).unionByName(alone)
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 An address is taken apart into region, locality, street, number and unit. Matching goes level by
 level: spellings of localities are settled within their region and ZIP codes, spellings of streets
 within their locality and number. A level that a record lacks inherits what the levels around it
-allow: if that is one candidate, the record takes it; if it is several, the record stays ambiguous
-and is linked to none of them.
+allow: if that is one candidate, the record takes it; if it is several, the record stays ambiguous,
+says at which level and among how many, and is linked to none of them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import null_safe_join
 from ..operators.skew import lookup
 from ..session import cut, table
-from .names import ACCENTED, PLAIN, one_error, one_out
+from .names import ACCENTED, PLAIN, followed, one_error, one_out
 
 # Postal abbreviations.
 STATES = {
@@ -89,8 +89,10 @@ def taken_apart(writings: DataFrame) -> DataFrame:
     size = F.size("w")
     last = F.element_at("w", -1)
     suffix = F.coalesce(_map(SUFFIXES)[last], F.when(last.isin(sorted(set(SUFFIXES.values()))), last))
-    near = F.filter(F.array(*[F.lit(x) for x in SUFFIX_WORDS]), lambda x: one_error(last, x))
-    suffix = F.coalesce(suffix, F.when((size > 1) & (F.length(last) > 3) & (F.size(near) == 1), _map(SUFFIXES)[F.element_at(F.when(F.size(near) > 0, near), 1)]))
+    # a list column, so that the edit distances are taken once, and only for words that no table knows
+    mistyped = suffix.isNull() & (size > 1) & (F.length(last) > 3)
+    df = df.withColumn("near", F.when(mistyped, F.filter(F.array(*[F.lit(x) for x in SUFFIX_WORDS]), lambda x: one_error(last, x))))
+    suffix = F.coalesce(suffix, F.when(F.size("near") == 1, _map(SUFFIXES)[F.get("near", F.lit(0))]))
     df = df.withColumn("suffix", F.when(size > 1, suffix)).withColumn("w", F.when(F.col("suffix").isNotNull(), F.slice("w", F.lit(1), size - 1)).otherwise(F.col("w")))
     name = F.regexp_replace(F.array_join("w", " "), r"^(?:SAINT|ST) ", "SAINT ")
     df = df.withColumn("street", F.when(F.col("box").isNotNull(), "BOX").otherwise(F.coalesce(F.nullif(name, F.lit("")), F.array_join("parts", " "))))
@@ -109,17 +111,18 @@ def taken_apart(writings: DataFrame) -> DataFrame:
 
 
 def settle(df: DataFrame, word: str, within: list[str], factor: int) -> DataFrame:
-    """(``within``, ``word``, to): spellings of ``word`` that are one error away from one at least ``factor`` times as frequent in the same ``within``."""
-    spots = df.where((F.length(word) > 3) & F.col(word).isNotNull()).groupBy(*within, word).agg(F.sum("n").alias("n"))
-    spots = cut(spots)
+    """(``within``, ``word``, to): spellings of ``word`` that are one error away from one at least ``factor`` times as frequent in the same ``within``.
+
+    Every spelling meets all others that share a form with one letter left out; distinct words that do are bounded in
+    number by the alphabet. Of several targets the most frequent counts, and corrections are followed to their ends.
+    """
+    spots = cut(df.where((F.length(word) > 3) & F.col(word).isNotNull()).groupBy(*within, word).agg(F.sum("n").alias("n")))
     several = spots.groupBy(*within).agg(F.count("*").alias("words")).where("words > 1").select(*within)
     parts = spots.join(several, within, "left_semi").select("*", F.explode(one_out(F.col(word))).alias("part"))
-    keys = [*within, "part"]
-    top = parts.groupBy(*keys).agg(F.max(F.struct("n", F.col(word).alias("word"))).alias("top"), F.count("*").alias("k")).where("k > 1").drop("k")
-    better = parts.join(top, keys).where((F.col("top.word") != F.col(word)) & (F.col("top.n") >= factor * F.col("n")) & one_error(F.col(word), F.col("top.word")))
-    best = better.where((F.col("top.n") > F.col("n")) | (F.col("top.word") > F.col(word))).groupBy(*within, word).agg(F.max("top")["word"].alias("to"))
-    on = best.select(*within, F.col(word).alias("to"), F.col("to").alias("further"))
-    return best.join(on, [*within, "to"], "left").select(*within, word, F.coalesce("further", "to").alias("to"))
+    other = parts.select(*within, "part", F.col(word).alias("to"), F.col("n").alias("m"))
+    better = parts.join(other, [*within, "part"]).where((F.col("m") >= factor * F.col("n")) & ((F.col("m") > F.col("n")) | (F.col("to") > F.col(word))) & (F.col("to") != F.col(word)))
+    better = better.where(one_error(F.col(word), F.col("to")))
+    return followed(better.groupBy(*within, word).agg(F.max(F.struct("m", "to"))["to"].alias("to")), word, within)
 
 
 def localities(df: DataFrame) -> DataFrame:
@@ -140,57 +143,92 @@ def localities(df: DataFrame) -> DataFrame:
     return null_safe_join(df, right, ["region", "town", "zip5"])
 
 
-def matched(df: DataFrame) -> DataFrame:
-    """``df`` (from ``localities``) with ``spot`` = place, number, street, direction and suffix; rows without a spot are left out."""
+def homes(placed: DataFrame) -> DataFrame:
+    """(number, street, scope, place): where a number and street are found; scope = its ZIP code, its ZIP code and region, its region, or ``*``.
+
+    Records whose place is open look here under the narrowest scope that they give, so no record meets another.
+    """
+    region = F.split_part("place", F.lit("|"), F.lit(1))
+    by_zip = F.when(F.col("zip5").isNotNull(), F.array(F.concat(F.lit("z"), "zip5"), F.concat(F.lit("z"), "zip5", F.lit("|"), region))).otherwise(F.array().cast("array<string>"))
+    scopes = F.concat(by_zip, F.array(F.concat(F.lit("r"), region), F.lit("*")))
+    return placed.where("number <> ''").select("number", "street", "place", F.explode(scopes).alias("scope")).distinct()
+
+
+def settled_places(open_: DataFrame, placed: DataFrame) -> DataFrame:
+    """``open_`` with ``place``, the number of ``candidates`` for it, and their ``scope``: candidates under the record's ZIP code, if it has any, else in its region, else anywhere.
+
+    One candidate is taken over. With several, or none, the record keeps its ZIP code in place of a locality, and
+    with several its ambiguity stays on record.
+    """
+    wanted = open_.where("number <> ''").select("number", "street").distinct()
+    found = homes(placed.join(wanted, ["number", "street"], "left_semi")).groupBy("number", "street", "scope").agg(F.min("place").alias("one"), F.count("*").alias("k"))
+    near = F.when(F.col("zip5").isNotNull(), F.concat(F.lit("z"), "zip5", F.coalesce(F.concat(F.lit("|"), "region"), F.lit(""))))
+    wide = F.coalesce(F.concat(F.lit("r"), "region"), F.lit("*"))
+    df = open_.withColumns({"near": near, "wide": wide})
+    for side in ("near", "wide"):
+        df = df.join(found.select("number", "street", F.col("scope").alias(side), F.col("one").alias(f"{side}_one"), F.col("k").alias(f"{side}_k")), ["number", "street", side], "left")
+    by = F.col("near_k").isNotNull()
+    k = F.coalesce(F.col("near_k"), F.col("wide_k"), F.lit(0))
+    alone = F.when(F.col("zip5").isNotNull(), F.concat_ws("|", F.coalesce("region", F.lit("")), F.concat(F.lit("="), "zip5")))
+    place = F.coalesce(F.when(k == 1, F.when(by, F.col("near_one")).otherwise(F.col("wide_one"))), alone)
+    return df.withColumns({"place": place, "candidates": k, "scope": F.when(k > 1, F.when(by, F.col("near")).otherwise(F.col("wide")))}).drop("near", "wide", *[f"{s}_{c}" for s in ("near", "wide") for c in ("one", "k")])
+
+
+def matched(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` (from ``localities``) with its ``spot``, and the candidates of ambiguous localities.
+
+    ``spot`` = place, number, street, direction and suffix, NULL if the locality is open and no ZIP code stands in for it. ``open_level`` is
+    the highest level that stays open (locality, direction, suffix; NULL if none) and ``candidates`` counts what it could be (0: nothing known).
+    """
     level = ["place", "number"]
     placed = df.where("place IS NOT NULL")
     fixes = settle(placed.where("street <> 'BOX'"), "street", level, 1)
-    placed = placed.join(fixes, [*level, "street"], "left").withColumn("street", F.coalesce("to", "street")).drop("to")
-    # records whose place is open take the one place that has their number and street: under their ZIP code, else in their region
-    spots = cut(placed.groupBy(*level, "street", "before", "suffix").agg(F.sum("n").alias("n")))
-    homes = placed.where("number <> ''").select("number", "street", "place", F.col("zip5").alias("at")).distinct()
-    open_ = df.where("place IS NULL").drop("place")
-    near = open_.join(homes, ["number", "street"]).where("region IS NULL OR split_part(place, '|', 1) = region").withColumn("here", F.when(F.col("at") == F.col("zip5"), F.col("place")))
-    one = near.groupBy("id").agg(F.min("here").alias("here"), F.count_distinct("here").alias("nh"), F.min("place").alias("place"), F.count_distinct("place").alias("k"))
-    one = one.select("id", F.when(F.col("nh") == 1, F.col("here")).when((F.col("nh") == 0) & (F.col("k") == 1), F.col("place")).alias("place"))
-    alone = F.when(F.col("zip5").isNotNull(), F.concat_ws("|", F.coalesce("region", F.lit("")), F.concat(F.lit("="), "zip5")))
-    late = open_.join(one, "id", "left").withColumn("place", F.coalesce("place", alone)).where("place IS NOT NULL")
-    both = placed.unionByName(late)
+    placed = cut(placed.join(fixes, [*level, "street"], "left").withColumn("street", F.coalesce("to", "street")).drop("to"))
+    late = settled_places(df.where("place IS NULL").drop("place"), placed)
+    both = placed.withColumns({"candidates": F.lit(1).cast("long"), "scope": F.lit(None).cast("string")}).unionByName(late)
     road = [*level, "street"]
-    ways = spots.groupBy(*road).agg(*[f(c).alias(f"{k}_{c}") for c in ("before", "suffix") for k, f in (("a", F.min), ("z", F.max))])
+    ways = placed.groupBy(*road).agg(*[f(c).alias(f"{k}_{c}") for c in ("before", "suffix") for k, f in (("a", F.min), ("z", F.max))])
     both = both.join(ways, road, "left")
-    for c in ("before", "suffix"):
-        both = both.withColumn(c, F.coalesce(c, F.when(F.col(f"a_{c}") == F.col(f"z_{c}"), F.col(f"a_{c}")), F.lit("")))
-    return both.withColumn("spot", F.concat_ws("|", "place", "number", "street", "before", "suffix"))
+    level_of = F.when((F.col("candidates") != 1), F.lit("locality"))
+    for c, name in (("before", "direction"), ("suffix", "suffix")):
+        several = F.col(c).isNull() & (F.col(f"a_{c}") != F.col(f"z_{c}"))
+        level_of = F.coalesce(level_of, F.when(several, F.lit(name)))
+        both = both.withColumn(f"own_{c}", F.coalesce(c, F.when(F.col(f"a_{c}") == F.col(f"z_{c}"), F.col(f"a_{c}")), F.lit("")))
+    spot = F.when(F.col("place").isNotNull(), F.concat_ws("|", "place", "number", "street", "own_before", "own_suffix"))
+    both = both.withColumns({"spot": spot, "open_level": level_of, "candidates": F.when(level_of.isin("direction", "suffix"), 2).otherwise(F.col("candidates"))})
+    asked = late.where("scope IS NOT NULL").select("number", "street", "scope").distinct()
+    return both.drop(*[f"{k}_{c}" for c in ("before", "suffix") for k in ("a", "z", "own")]), homes(placed).join(asked, ["number", "street", "scope"], "left_semi")
 
 
 def address_records(spark, sf_dir: str) -> DataFrame:
-    """(record_key, address, city, state, zip) of the three tables; records without an address are left out."""
+    """(record_key, written, address, city, state, zip) of the three tables, tidy; records without an address are left out."""
     f, r, o = (table(spark, sf_dir, t) for t in ("irs990_filings", "lda_registrant_sample_100", "entity_observations"))
-    both = F.when(r["address_1"].isNotNull(), F.concat_ws(", ", tidy(r["address_1"]), tidy(r["address_2"])))
+    none = F.lit(None).cast("string")
     parts = [
-        f.select(F.concat(F.lit("irs990_filings:"), "filing_id").alias("record_key"), F.col("filer_address").alias("address"), F.col("filer_address").alias("raw"), F.col("filer_city").alias("city"), F.col("filer_state").alias("state"), F.col("filer_zip_code").alias("zip")),
-        r.select(F.concat(F.lit("lda_registrant_sample_100:"), "row_no").alias("record_key"), both.alias("address"), F.concat_ws(" ", "address_1", "address_2").alias("raw"), "city", "state", "zip"),
-        o.select(F.concat(F.lit("entity_observations:"), "observation_id").alias("record_key"), "address", F.col("address").alias("raw"), "city", "state", F.col("zip_code").alias("zip")),
+        f.where("filer_address IS NOT NULL").select(F.concat(F.lit("irs990_filings:"), "filing_id").alias("record_key"), F.col("filer_address").alias("a1"), none.alias("a2"), F.col("filer_city").alias("city"), F.col("filer_state").alias("state"), F.col("filer_zip_code").alias("zip")),
+        r.where("address_1 IS NOT NULL").select(F.concat(F.lit("lda_registrant_sample_100:"), "row_no").alias("record_key"), F.col("address_1").alias("a1"), F.col("address_2").alias("a2"), "city", "state", "zip"),
+        o.where("address IS NOT NULL").select(F.concat(F.lit("entity_observations:"), "observation_id").alias("record_key"), F.col("address").alias("a1"), none.alias("a2"), "city", "state", F.col("zip_code").alias("zip")),
     ]
-    rows = reduce(DataFrame.unionByName, parts).where("address IS NOT NULL")
-    written = F.coalesce(tidy(F.concat_ws(" ", "raw", "city", "state", "zip")), F.lit(""))
-    return rows.select("record_key", written.alias("written"), tidy(F.col("address")).alias("address"), *[tidy(F.col(c)).alias(c) for c in ("city", "state", "zip")])
+    fields = ["a1", "a2", "city", "state", "zip"]
+    rows = reduce(DataFrame.unionByName, parts).select("record_key", *[tidy(F.col(c)).alias(c) for c in fields])
+    return rows.select("record_key", F.concat_ws(" ", *fields).alias("written"), F.nullif(F.concat_ws(", ", "a1", "a2"), F.lit("")).alias("address"), "city", "state", "zip")
 
 
-def spots(records: DataFrame) -> DataFrame:
-    """(record_key, w, spot, unit) of the records that name a place; blank addresses name none.
+def spots(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(record_key, w, spot, unit, open_level, candidates, scope, number, street) of the records with an address, and the candidates (number, street, scope, place).
 
-    ``w`` is a hash of the whole address as written. Every way of writing is taken apart once and goes
-    through the levels under a digest instead of its text.
+    ``w`` is a hash of the whole address as written. Records are read once; every way of writing is taken apart once and
+    goes through the levels under a digest instead of its text.
     """
     fields = ["address", "city", "state", "zip"]
     digest = F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in ("written", *fields)])))
-    records = records.where("address IS NOT NULL").withColumn("id", digest)
-    writings = cut(taken_apart(records.groupBy("id", *fields).agg(F.count("*").alias("n"))))
-    members = cut(records.select("record_key", "id", F.xxhash64("written").alias("w")))
-    found = matched(localities(writings)).select("id", "spot", "unit", "n")
-    return cut(lookup(members, "id", found, "n", members.count()).select("record_key", "w", "spot", "unit"))
+    members = cut(records.where("address IS NOT NULL").select("record_key", digest.alias("id"), F.xxhash64("written").alias("w"), *fields))
+    writings = cut(taken_apart(members.groupBy("id", *fields).agg(F.count("*").alias("n"))))
+    found, candidates = matched(localities(writings))
+    keep = ["spot", "unit", "open_level", "candidates", "scope", "number", "street"]
+    # a digest that many records bear is joined without bringing these together
+    out = lookup(members.select("record_key", "id", "w"), "id", found.select("id", "n", *keep), "n", members.count())
+    return cut(out.select("record_key", "w", *keep)), candidates
 
 
 def same_place_pairs(found: DataFrame) -> DataFrame:
@@ -198,6 +236,7 @@ def same_place_pairs(found: DataFrame) -> DataFrame:
 
     Ways of writing are paired first, then their records, so records written alike never meet.
     """
+    found = found.where("spot IS NOT NULL")
     # the street number beside the hash: places whose hashes are the same by chance hardly share it
     rows = found.select("record_key", "w", F.xxhash64("spot").alias("s"), F.split_part("spot", F.lit("|"), F.lit(3)).alias("number"), F.coalesce("unit", F.lit("")).alias("unit"))
     at = ["s", "number"]
@@ -214,9 +253,14 @@ def same_place_pairs(found: DataFrame) -> DataFrame:
 
 
 def p5_spots(spark, sf_dir: str) -> DataFrame:
-    """Membership: the place of each record that names one."""
-    return spots(address_records(spark, sf_dir))
+    """Membership: the place of each record, and what stays ambiguous about it."""
+    return spots(address_records(spark, sf_dir))[0].select("record_key", "spot", "unit", "open_level", "candidates", "scope")
+
+
+def p5_candidates(spark, sf_dir: str) -> DataFrame:
+    """What ambiguous records could denote: (number, street, scope, place), one row per candidate, however many records ask."""
+    return spots(address_records(spark, sf_dir))[1]
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
-    return same_place_pairs(spots(address_records(spark, sf_dir)))
+    return same_place_pairs(spots(address_records(spark, sf_dir))[0])

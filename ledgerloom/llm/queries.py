@@ -11,6 +11,7 @@ QUERIES = {
     "p4_found": topn.p4_found,
     "p5_found": places.p5_found,
     "p5_spots": places.p5_spots,
+    "p5_candidates": places.p5_candidates,
     "p7_found": crossmatch.p7_found,
     "p7_matches": crossmatch.p7_matches,
     "p8_containers": packing.p8_containers,
