@@ -19,5 +19,6 @@ QUERIES = {
     "p9_mix": mixing.p9_mix,
     "p9_shares": mixing.p9_shares,
     "p10_found": residue.p10_found,
+    "p10_units": residue.p10_units,
 }
 SQL = {"p3_found": components.P3_FOUND_SQL, "p4_found": topn.P4_FOUND_SQL}

@@ -1,168 +1,294 @@
 """Problem 10: template residue and error-page text, by positive-unlabelled naive Bayes.
 
-Texts are cut into passages. Trusted passages (slots of template languages, filler, error lines and
-script notices in their plain forms) are positive, all others unlabelled; expectation-maximization
-re-estimates a naive Bayes model of both classes over hashed words, so that wordings beside the
-trusted ones are learned and mentions in ordinary prose are not. Passages are then scored and the
-decisions of a record's passages put together.
+A text becomes units: its lines and sentences, and every span between paired delimiters ({..}, [[..]], %..%
+and the like). A few trusted units (slots of template languages, a few filler and error phrases in
+otherwise short records) are positive, all others unlabelled; expectation-maximization re-estimates a naive
+Bayes model of four classes (other, slot, filler, error) over hashed features. Part of the trusted units go in
+without the words that made them trusted, so that the words around them are learned. Units are then
+scored by their odds alone, and the decisions of a record's units put together.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, table
 
-#: Hashed words; the model is two vectors of this length at any size of the data.
+#: Hashed features; the model is four vectors of this length at any size of the data.
 BUCKETS = 1 << 16
-ROUNDS = 5
-PRIOR, SMOOTH = 0.02, 0.1
-#: A passage counts as residue above this log-odds.
-THRESHOLD = 0.0
-
-_IN = r"[ a-zA-Z_\u00a0]{2,40}"
-SLOT = "|".join(
-    [
-        r"\{\{[^{}\n]{0,40}\}\}", r"\{%[^%\n]{1,40}%\}", r"<%[^%\n]{1,40}%>", r"[$#]\{[^{}\n]{1,40}\}", rf"\[\[{_IN}\]\]", rf"<<{_IN}>>", rf"(?i:&lt;){_IN}(?i:&gt;)",
-        rf"(?i:\[(?:insert|enter|your|tbd|todo|nombre|nom|add|type)\b[:\s]{_IN}\])", rf"(?i:\[{_IN} (?:goes )?here\])", rf"(?i:<(?:enter|insert|your|add){_IN}>)", rf"(?i:\((?:insert|enter your|your){_IN}\))",
-        r"\{(?:0|[A-Za-z][A-Za-z_]{2,30})\}", r"%[A-Za-z]+(?:_[A-Za-z]+)*%", r"\*\|[A-Za-z_]+\|\*", r"@@[A-Za-z_]+@@", r"\b__[A-Za-z]+(?:_[A-Za-z]+)*__\b", r"(?i:\[object object\])", r"\b(?i:x{5,})\b",
-    ]
-)
-FILLER = r"(?i)^\W*(?:lorem ipsum|ipsum lorem)\b|click to edit this\b|\b(?:section|text|copy) to be written (?:by \w+ )?later\b|^\W*placeholder copy\b|\byour (?:headline|text|title) here\b|\bdelete this and type\b|\badd a short paragraph about your\b|\blorem ipsum dolor\b|this is sample text\b|replace (?:it|this) with your own (?:words|text)|\b(?:text|content) goes here\b|^\W*(?:page in progress|under construction|coming soon|placeholder(?: text)?)\W*$"
-_CODE = r"(?:(?:oops|sorry)!? ?)?(?:(?:http |error |status )?\d{3}\W*)?(?:(?:oops|sorry)!? ?)?"
-ERRORS = [
-    "(?:the )?page (?:you requested )?(?:not found|could not be (?:found|located))", "(?:404 )?not found", "nothing was found at this address", "we can.t find that page", "access denied", "forbidden", "bad gateway", "bad request",
-    "internal server error", "an unexpected error has occurred", "something went wrong.{0,30}", "service (?:temporarily )?unavailable", "gateway time(?:d )?-?out", "the request took too long", "too many requests", "rate limit reached.{0,20}",
-    "your session has expired", "gone", "please sign in again", "down for maintenance.{0,30}", "the upstream server sent an invalid (?:reply|response)", "you do not have permission .{0,40}", "this content has been removed", "error establishing a database connection",
-    "p[áa]gina no encontrada", "servicio no disponible", "acceso denegado", "page introuvable", "acc[èe]s refus[ée]", "service indisponible", "erreur interne.{0,20}",
-]
-_JS = r"(?:javascript|active scripts|scripting|cookies and scripts|cookies|scripts|javascript and cookies)"
-NOTICES = [
-    rf"please enable {_JS}.{{0,40}}", rf"you need to enable {_JS}.{{0,40}}", rf"this (?:site|page|app) requires {_JS}", rf"{_JS} (?:is|are) disabled.{{0,60}}", rf"{_JS} must be switched on", rf"your browser does not support {_JS}.{{0,40}}",
-    rf"we.re sorry but .{{1,80}} doesn.t work properly without {_JS} enabled", rf"noscript\W+{_JS}.{{0,20}}", rf"enable {_JS}", rf"activ\w+ {_JS} (?:para|pour) .{{0,40}}", rf"veuillez activer {_JS}.{{0,40}}", rf"(?:\(if this message stays, )?{_JS} may be blocked\)?", "verifying you are human", "checking your browser before you reach .{1,80}",
-    "your browser has it turned off",
-]
-ERROR = rf"(?i)^\W*(?:{_CODE}(?:{'|'.join(ERRORS)})(?: \(code \d{{3}}\))?|{'|'.join(NOTICES)})\W*$"
-CRASH = r"(?i)\btraceback \(most recent call|\b(?:java\.lang\.)?\w+exception at \w|^\W*fatal error: |\"status\": ?\d{3}, ?\"error\""
-#: What stands around a page and is no content of its own.
-FURNITURE = r"(?i)^\W*(?:\(c\)|©|copyright)|all rights reserved|^[^|]{1,30}(?: \| [^|]{1,30})+$|^\W*(?:skip to content|return to the home ?page|loading|please refresh or come back later|try searching instead or contact the webmaster|reload after changing settings|ray [0-9a-f]+|reference #[0-9a-f]+|sorry|oops|back|menu)\W*$"
-
-
-def passages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, passage): lines and sentences of each text, without markup; NULL and blank texts give none."""
-    t = F.regexp_replace(documents[text], r"</?(?i:p|div|h\d|span|br|b|i|em|strong|a|li|ul|td|tr|table|body|html|main|section)(?: [^<>]{0,80})?/?>", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, "\u00a0", " "), r"[ \t]+", " ")
-    t = F.regexp_replace(t, r"(Loading\.\.\.) ", "$1\n")
-    t = F.regexp_replace(t, r" (?=(?i:home \||privacy \||return to the home ?page|try searching instead|please refresh or|skip to content|reload after changing|ray [0-9a-f]{5,}\b|reference #[0-9a-f]+|\(c\) ?\d{4}))", "\n")
-    cut_at = r"\n+|(?<=[.!?])\s+(?=[\p{Lu}\p{Nd}\[({<$%#*@_\"'])"
-    return documents.select(documents[key].alias("k"), F.explode(F.split(t, cut_at)).alias("p")).select(F.col("k").alias(key), F.trim("p").alias("passage")).where("passage <> ''")
-
-
-def marked(passage: Column) -> Column:
-    """A passage in lower case with slots, quoted slots and numbers as words of their own."""
-    quoted = F.regexp_replace(passage, rf"[\"“'‘`](?:{SLOT})[\"”'’`]", " zzquoted ")
-    # most passages hold no letter that any slot holds
-    t = F.when(passage.rlike(r"[{<&%*@_\[(]|[xX]{5}"), F.regexp_replace(quoted, SLOT, " zzslot ")).otherwise(passage)
-    return F.lower(F.regexp_replace(t, r"\d+", "9"))
-
-
-def words(text: Column) -> Column:
-    tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}]+|9|[|{}\[\]<>]"), 0)
-    pairs = F.transform(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.concat(t, F.lit(" "), F.get(tokens, i + 1)))
-    repeat = F.when((F.size(tokens) >= 4) & (F.size(F.array_distinct(tokens)) <= 2), F.array(F.lit("zzrepeat"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs, repeat)
-
-
-def features(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, kind, furniture, n, h): trusted kind (slot, filler, error; ``maybe`` for words that also stand in slots; or NULL), whether page furniture, words, hashed words."""
-    df = found.withColumn("m", marked(F.col("passage"))).withColumn("w", words(F.col("m")))
-    slot = F.array_contains("w", "zzslot")
-    kind = F.when(slot, "slot").when(F.array_contains("w", "zzrepeat") | F.col("passage").rlike(FILLER) & ~F.col("m").contains(" even lorem ipsum"), "filler").when(F.col("passage").rlike(ERROR) | F.col("passage").rlike(CRASH), "error")
-    title = F.col("passage").rlike(r"^[\p{Lu}\p{Nd}(/&][^.!?]*$") & ~F.col("passage").rlike(r" \p{Ll}{3,}\b") & (F.size(F.split("passage", " ")) <= 12) | F.col("passage").rlike(r"^[\p{Lu}\p{Nd} /&,'()-]{3,90}$") & (F.size(F.split("passage", " ")) <= 9)
-    hashed = F.transform("w", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    maybe = F.col("m").rlike(r"\bundefined\b") & kind.isNull()
-    return df.select(key, F.when(maybe, "maybe").otherwise(kind).alias("kind"), (F.col("passage").rlike(FURNITURE) | title).alias("furniture"), hashed.alias("h"))
-
-
-def _odds(h: pa.ListArray, weights: np.ndarray, prior: float) -> np.ndarray:
-    offsets = h.offsets.to_numpy()
-    values = weights[h.values.to_numpy()[offsets[0] : offsets[-1]]] if len(h.values) else np.zeros(0)
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    offsets = offsets - offsets[0]
-    return np.log(prior / (1 - prior)) + sums[offsets[1:]] - sums[offsets[:-1]]
-
-
-def learn(feats: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights of the hashed words and the share of residue, by expectation-maximization over all passages.
-
-    A round is one pass in which each task sums its expected word counts per bucket; the driver gets
-    the sums of at most ``BUCKETS`` buckets. Without trusted passages no passage is residue.
+ROUNDS = 6
+#: What every feature is seen besides. Unlabelled lines start as no residue; of unlabelled spans, which are few and often
+#: slots, these shares are taken for such at first (of bare words, of others).
+SMOOTH, BARE_SLOTS, SLOTS = 0.1, 0.5, 0.02
+#: Spans are slots or not; lines are filler, error or neither.
+SPAN_OTHER, SLOT, OTHER, FILLER, ERROR = range(5)
+
+# Delimiters in pairs. Between the symmetric ones of the second line stands one word.
+PAIRS = [("{{", "}}"), ("{%", "%}"), ("<%", "%>"), ("${", "}"), ("#{", "}"), ("[[", "]]"), ("<<", ">>"), ("&lt;", "&gt;"), ("{", "}"), ("[", "]"), ("<", ">"), ("(", ")")]
+WORDS_ONLY = [("*|", "|*"), ("@@", "@@"), ("__", "__"), ("%", "%")]
+#: Values that programs print for nothing, and signs struck over and over.
+BARE = r"\bundefined\b|\b[xX]{5,}\b"
+SPAN = re.compile("|".join([*(rf"{re.escape(a)}[^{{}}\[\]<>()\n\"]*?{re.escape(b)}" for a, b in PAIRS), *(rf"{re.escape(a)}[A-Za-z][A-Za-z_]*?{re.escape(b)}" for a, b in WORDS_ONLY), BARE]))
+SPAN_HINT = re.compile(r"[{\[<(%@*&]|__|undefined|[xX]{5}")
+#: What is trusted: slots of these languages, spans that tell one to fill them in, and a few phrases. All other wordings are learned.
+TRUSTED_SLOTS = re.compile(r"\{\{|\{%|<%|\$\{|#\{|\[\[|<<|\*\||@@|%|__|\{0\}|\[object Object\]|[\[(<](?:insert|enter|your|tbd|todo)\b|\[[^\[\]]* here\]", re.I)
+TRUSTED_FILLER = re.compile(r"^\W*(?:lorem ipsum\b|this is sample text\b|click to edit\b|placeholder (?:copy|text)\b|under construction\W*$)", re.I)
+#: Reason phrases of HTTP, and what scripts are needed for.
+TRUSTED_ERROR = re.compile(r"\bpage not found\b|\b(?:404|error\W+404)\W+not found\b|\baccess denied\b|\b403\W+forbidden\b|\binternal server error\b|\bbad gateway\b|\bservice (?:temporarily )?unavailable\b|\bgateway time-?out\b|\btoo many requests\b|\b(?:enable|requires) javascript\b|\bjavascript (?:is )?(?:disabled|required)\b|\bnot support javascript\b", re.I)
+#: A record of more signs than this is not trusted to be nothing but an error page; any record can be found to be one.
+SHORT = 300
+
+MARKUP = re.compile(r"</?(?:p|div|h\d|span|br|b|i|em|strong|a|li|ul|td|tr|table|body|html|main|section)(?: [^<>]*)?/?>", re.I)
+BREAK = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\Wa-z_]|[\[({<$%#*@\"'_])")
+WORD = re.compile(r"[^\W\d_]+|\d+")
+INNER = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+")
+QUOTES = "\"“”'‘’`"
+#: Page furniture by its form: menus, copyright lines, titles.
+MENU_TAIL = re.compile(r"\s(?=\w+(?: \| \w[\w ]*)+$)")
+MENU = re.compile(r"^[^|]{1,60}(?: \| [^|]{1,60})+$|^\W*(?:\(c\)|©|copyright)|all rights reserved", re.I)
+
+
+def shape(span: str) -> tuple[str, list[str]]:
+    """The form of a span, its delimiters and the case of what they hold, and the words that it holds."""
+    a = next((o for o, c in [*PAIRS, *WORDS_ONLY] if span.startswith(o) and span.endswith(c) and len(span) >= len(o) + len(c)), "")
+    held = span[len(a) : -len(a)] if a in ("@@", "__", "%", "*|") else span.strip("{}[]<>()%$#") if a and a != "&lt;" else span[4:-4] if a else span
+    words = [w.lower() for w in INNER.findall(held)]
+    case = "9" if held.isdigit() else "_" if "_" in held.strip() else "A" if held.isupper() else "aA" if re.search("[a-z][A-Z]", held) else "Aa" if held.istitle() else "a"
+    return f"{a or 'w'}{case}", words
+
+
+def is_title(line: str, words: list[str]) -> bool:
+    """A heading: few words, all long ones with a capital, no end of a sentence."""
+    return len(words) <= 12 and bool(line) and line[-1] not in ".!?" and not any(w[0].islower() and len(w) > 2 for w in WORD.findall(line) if w[0].isalpha())
+
+
+def units(text: str) -> list[tuple[int, str, int, list[str]]]:
+    """(trusted class or -1, kind, features to leave out when learning, features) of each unit of a text; kind = span, line, menu or title."""
+    out = []
+    t = MARKUP.sub("\n", text).replace(" ", " ")
+    whole = len(t.strip())
+    spans_trusted = fillers = errors = 0
+    for line in [x for y in BREAK.split(t) for x in MENU_TAIL.split(re.sub(r"\s+", " ", y).strip(), maxsplit=1)]:
+        line = line.strip()
+        if not line:
+            continue
+        rest = line
+        if SPAN_HINT.search(line):
+            pieces, at = [], 0
+            for m in SPAN.finditer(line):
+                before, after = line[: m.start()], line[m.end() :]
+                if before and after and before[-1] in QUOTES and after[0] in QUOTES:
+                    continue
+                form, inner = shape(m[0])
+                if form[0] == "w" and before.rstrip()[-1:] in QUOTES and before.rstrip():
+                    continue  # said of a quoted word
+                left, right = WORD.findall(before[-30:])[-1:], WORD.findall(after[:30])[:1]
+                sure = SLOT if TRUSTED_SLOTS.match(m[0]) else -1
+                spans_trusted += sure == SLOT
+                feats = [f"s:{form}", *(f"i:{w}" for w in inner)]
+                if form[0] == "w":  # a bare word tells nothing without its neighbours
+                    feats += [*(f"l:{w.lower()}" for w in left), *(f"r:{w.lower()}" for w in right)]
+                out.append([sure, line, feats, form])
+                if form[0] != "(":  # what stands in round brackets is text too
+                    pieces.append(line[at : m.start()])
+                    at = m.end()
+            pieces.append(line[at:])
+            rest = " ".join(pieces)
+        low = rest.lower()
+        words = ["9" if w[0].isdigit() else w for w in WORD.findall(low)]
+        if not words:
+            continue
+        sure, seed = -1, None
+        if (m := TRUSTED_FILLER.search(rest)) or any(len(words) >= 3 * p and words[p:] == words[:-p] for p in (1, 2, 3, 4)):
+            sure, seed = FILLER, m
+            fillers += 1
+        elif whole <= SHORT and (m := TRUSTED_ERROR.search(rest)):
+            sure, seed = ERROR, m
+            errors += 1
+        out.append([sure, "menu" if MENU.search(line) else "title" if is_title(rest.strip(), words) else "", words, WORD.findall(seed[0].lower()) if seed else []])
+    done = []
+    for sure, furniture, feats, extra in out:
+        if isinstance(extra, str):
+            # half of the trusted slots are learned from without what made them trusted, their form
+            skip = 1 if sure == SLOT and hash_(furniture + feats[0]) % 2 else 0
+            done.append((sure, "span", skip, [*feats, f"rec:slot{min(spans_trusted - (sure == SLOT), 1)}"]))
+            continue
+        pairs = [f"{a} {b}" for a, b in zip(feats, feats[1:], strict=False)]
+        more = [f"n:{len(feats).bit_length()}"]
+        # what stands beside a heading says nothing about it
+        if furniture != "title":
+            more += [f"rec:fill{min(fillers - (sure == FILLER), 1)}", f"rec:err{min(errors - (sure == ERROR), 1)}", f"short{whole <= SHORT}"]
+        if len(feats) > 5 and len(set(feats)) * 3 <= len(feats):
+            more.append("n:repeats")
+        every = feats + pairs + more
+        skip = 0
+        if extra and hash_(" ".join(feats)) % 2:
+            seen = [x for x in every if any(w in extra for w in x.split(" "))]
+            if len(seen) < len(every):
+                every, skip = seen + [x for x in every if not any(w in extra for w in x.split(" "))], len(seen)
+        done.append((sure, furniture or "line", skip, every))
+    return done
+
+
+def hash_(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+KINDS = ("span", "line", "menu", "title")
+
+
+def features(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, sure, kind, bare, skip, h): the units of all texts with hashed features; NULL and blank texts have none."""
+    name = documents.schema[key].dataType.simpleString()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            keys, sure, kind, bare, skip, h, ends = [], [], [], [], [], [], [0]
+
+            def done():
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int32())), pa.array(sure, pa.int8()), pa.array(kind, pa.int8()), pa.array(bare, pa.bool_()), pa.array(skip, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h, pa.int32()))], ["k", "sure", "kind", "bare", "skip", "h"])  # noqa: B023
+
+            for n, t in enumerate(b.column(1).to_pylist()):
+                for s, f, left_out, words in units(t) if t else ():
+                    keys.append(n)
+                    sure.append(s)
+                    kind.append(KINDS.index(f))
+                    bare.append(f == "span" and words[0].startswith("s:w"))
+                    skip.append(left_out)
+                    for w in words:
+                        if (x := known.get(w)) is None:
+                            if len(known) > 500_000:
+                                known.clear()
+                            x = known[w] = hash_(w) % BUCKETS
+                        h.append(x)
+                    ends.append(len(h))
+                if len(h) > 2_000_000:
+                    yield done()
+                    keys, sure, kind, bare, skip, h, ends = [], [], [], [], [], [], [0]
+            yield done()
+
+    return documents.select(documents[key].alias("k"), documents[text].alias("t")).mapInArrow(make, f"k {name}, sure tinyint, kind tinyint, bare boolean, skip int, h array<int>").withColumnRenamed("k", key)
+
+
+class Model:
+    """Log-probabilities of the features by class, and of the classes; without them the first guess of ``learn``."""
+
+    def __init__(self, weights: np.ndarray | None = None, prior: np.ndarray | None = None):
+        self.weights, self.prior = weights, prior
+
+    def odds(self, kind: np.ndarray, h: pa.ListArray) -> np.ndarray:
+        """By unit and class; classes that a unit can't have are at minus infinity."""
+        offsets = h.offsets.to_numpy()
+        values = h.values.to_numpy()[offsets[0] : offsets[-1]]
+        sums = np.vstack([np.zeros(5), np.cumsum(self.weights[values], 0)])
+        offsets = offsets - offsets[0]
+        span = (kind == KINDS.index("span"))[:, None]
+        can = np.where(span, np.arange(5) <= SLOT, np.arange(5) >= OTHER)
+        return np.where(can, self.prior + sums[offsets[1:]] - sums[offsets[:-1]], -np.inf)
+
+    def shares(self, kind: np.ndarray, bare: np.ndarray, h: pa.ListArray) -> np.ndarray:
+        if self.weights is None:
+            q = np.zeros((len(kind), 5))
+            span = kind == KINDS.index("span")
+            slots = np.where(bare, BARE_SLOTS, SLOTS)
+            q[span, SLOT], q[span, SPAN_OTHER], q[~span, OTHER] = slots[span], 1 - slots[span], 1
+            return q
+        o = self.odds(kind, h)
+        q = np.exp(o - o.max(1, keepdims=True))
+        return q / q.sum(1, keepdims=True)
+
+
+def learn(feats: DataFrame, rounds: int = ROUNDS) -> Model | None:
+    """The model, by expectation-maximization over all units; None if no unit is trusted.
+
+    A round is one pass in which each task sums its expected counts of features; the driver gets
+    the sums of at most ``BUCKETS`` buckets.
     """
-    weights, prior = None, PRIOR
+    model = Model()
     for _ in range(rounds):
-        w, pr = weights, prior
+        now = model
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
-            seen = np.zeros(2)
+            sums, seen = np.zeros((BUCKETS, 5)), np.zeros(6)
             for b in batches:
-                trusted = np.array([x is not None and x != "maybe" for x in b.column(0).to_pylist()])
-                h = b.column(1)
-                q = np.where(trusted, 1.0, 0.0 if w is None else 1 / (1 + np.exp(-np.clip(_odds(h, w, pr), -50, 50))))
-                sizes = np.diff(h.offsets.to_numpy())
-                at = h.values.to_numpy()[h.offsets[0].as_py() : h.offsets[-1].as_py()]
-                each = np.repeat(q, sizes)
-                pos += np.bincount(at, each, BUCKETS)
-                neg += np.bincount(at, 1 - each, BUCKETS)
-                seen += (q.sum(), len(q))
-            some = np.flatnonzero(pos + neg)
-            rows = np.concatenate([some, [-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(np.append(pos[some], seen[0])), pa.array(np.append(neg[some], seen[1]))], ["b", "pos", "neg"])
-
-        sums = feats.select("kind", "h").mapInArrow(expect, "b int, pos double, neg double").groupBy("b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
-        total = sums[sums.b == -1]
-        if not len(total) or float(total.pos.iloc[0]) == 0:
-            return np.zeros(BUCKETS), 1e-9
-        sums = sums[sums.b >= 0]
-        pos, neg = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
-        pos[sums.b], neg[sums.b] = pos[sums.b] + sums.pos, neg[sums.b] + sums.neg
-        weights = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-        prior = min(0.5, max(1e-6, float(total.pos.iloc[0]) / float(total.neg.iloc[0])))
-    return weights, prior
-
-
-def scored(feats: DataFrame, key: str, weights: np.ndarray, prior: float) -> DataFrame:
-    kind = feats.schema[key].dataType.simpleString()
+                sure, kind, bare, skip = (b.column(n).to_numpy(zero_copy_only=False) for n in range(4))
+                h = b.column(4)
+                q = now.shares(kind, bare, h)
+                on = np.flatnonzero(sure >= 0)
+                q[on] = 0
+                q[on, sure[on]] = 1
+                offsets = h.offsets.to_numpy()
+                sizes = np.diff(offsets)
+                unit = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(unit)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+                use = place >= skip[unit]
+                at, unit = h.values.to_numpy()[offsets[0] : offsets[-1]][use], unit[use]
+                for k in range(5):
+                    sums[:, k] += np.bincount(at, q[unit, k], BUCKETS)
+                seen += (*q.sum(0), len(on))
+            some = np.flatnonzero(sums.sum(1))
+            rows = np.append(some, [-1, -2])
+            extra = np.vstack([seen[:5], [seen[5], 0, 0, 0, 0]])
+            both = np.vstack([sums[some], extra])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(both[:, k]) for k in range(5))], ["b", *(f"c{k}" for k in range(5))])
+
+        got = feats.select("sure", "kind", "bare", "skip", "h").mapInArrow(expect, "b int, c0 double, c1 double, c2 double, c3 double, c4 double")
+        got = got.groupBy("b").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(5)]).toPandas()
+        if not float(got.loc[got.b == -2, "c0"].sum()):
+            return None
+        seen = got.loc[got.b == -1, [f"c{k}" for k in range(5)]].to_numpy()[0]
+        words = got[got.b >= 0]
+        counts = np.full((BUCKETS, 5), SMOOTH)
+        counts[words.b] += words[[f"c{k}" for k in range(5)]].to_numpy()
+        model = Model(np.log(counts) - np.log(counts.sum(0)), np.log(np.maximum(seen, SMOOTH) / seen.sum()))
+    return model
+
+
+def scored(feats: DataFrame, key: str, model: Model) -> DataFrame:
+    """(key, kind, class): the likeliest class of each unit, by its odds alone."""
+    name = feats.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(_odds(b.column(3), weights, prior))], ["k", "kind", "furniture", "odds"])
+            kind = b.column(1).to_numpy(zero_copy_only=False)
+            best = model.odds(kind, b.column(2)).argmax(1) if len(kind) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.int8())], ["k", "kind", "class"])
 
-    return feats.select(F.col(key).alias("k"), "kind", "furniture", "h").mapInArrow(score, f"k {kind}, kind string, furniture boolean, odds double").withColumnRenamed("k", key)
+    return feats.select(F.col(key).alias("k"), "kind", "h").mapInArrow(score, f"k {name}, kind tinyint, class tinyint").withColumnRenamed("k", key)
 
 
 def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, slots, fillers, errors, content): counts of each kind of passage in the records that have any residue to drop.
+    """(key, slots, fillers, errors, content): counts of each kind of unit in the records that have any residue to drop.
 
     Slots and filler anywhere make a record residue. Error messages and script notices do so only
     where nothing but page furniture stands beside them. NULL, blank and empty texts never do.
     """
-    feats = cut(features(passages(documents, key, text), key))
-    weights, prior = learn(feats)
-    found = scored(feats, key, weights, prior)
-    hit = F.col("odds") > THRESHOLD
-    slot, filler = (F.col("kind") == "slot") | (F.col("kind") == "maybe") & hit, F.col("kind") == "filler"
-    error = (F.col("kind") == "error") | hit & F.col("kind").isNull() & ~F.col("furniture")
-    plain = (F.col("kind").isNull() & ~F.col("furniture") | (F.col("kind") == "maybe")) & ~hit
-    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    counts = found.groupBy(key).agg(n(slot).alias("slots"), n(filler).alias("fillers"), n(error).alias("errors"), n(plain).alias("content"))
+    feats = cut(features(documents, key, text))
+    model = learn(feats)
+    if model is None:
+        return feats.where("false").select(key, *[F.lit(0).cast("long").alias(c) for c in ("slots", "fillers", "errors", "content")])
+    found = scored(feats, key, model)
+    is_, line = lambda c: F.col("class") == c, F.col("kind") == KINDS.index("line")
+    menu = F.col("kind") == KINDS.index("menu")
+    counts = found.groupBy(key).agg(F.count_if(is_(SLOT)).alias("slots"), F.count_if(is_(FILLER) & ~menu).alias("fillers"), F.count_if(is_(ERROR) & ~menu).alias("errors"), F.count_if(is_(OTHER) & line).alias("content"))
     return counts.where("slots > 0 OR fillers > 0 OR errors > 0 AND content = 0")
 
 
 def p10_found(spark, sf_dir: str) -> DataFrame:
     return residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_units(spark, sf_dir: str) -> DataFrame:
+    """How many units of each kind the model puts into each class."""
+    feats = cut(features(table(spark, sf_dir, "documents")))
+    model = learn(feats)
+    return (scored(feats, "doc_id", model) if model else feats.selectExpr("doc_id", "kind", "kind AS class").where("false")).groupBy("kind", "class").agg(F.count("*").alias("units"))

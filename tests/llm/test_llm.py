@@ -92,6 +92,31 @@ def test_spellings_of_one_name(spark):
     assert ("BOB VANE MEM. FUND", "ROBERT VANE MEMORIAL FUND") in pairs and all(a < b for a, b in pairs)
 
 
+def test_orders_initials_and_long_names(spark):
+    long = "".join(random.Random(6).choice("BCDFGHJKLMNPQRSTVWXZ") for _ in range(300))
+    same = [("Garcia Lopez Foundation", "Lopez Garcia Foundation"), ("Kowalczyk Brennan Trust", "Brennan Kowalczyk Trust"), ("J Smithers", "John Smithers"), ("Zelda Dunmore Trust", "Dunmore, Zelda Trust"), ("Zelda Dunmore Trust", "Z Dunmore Trust"), (long, long[:100] + long[101:]), (long, long[:250] + "Y" + long[250:])]
+    df = spark.createDataFrame([(n,) for p in same for n in p], "name string")
+    found = {r.name: (r.entity, r.score) for r in names.linked_names(df).collect()}
+    for a, b in same:
+        assert found[a.upper()][0] == found[b.upper()][0], (a, b)
+    assert all(0 < s <= 1 for _, s in found.values())
+    # an initial of two different persons tells nothing
+    two = spark.createDataFrame([("J Smithers",), ("John Smithers",), ("James Smithers",)], "name string")
+    found = {r.name: r.entity for r in names.linked_names(two).collect()}
+    assert len(set(found.values())) == 3
+
+
+@pytest.mark.parametrize("length", [5, 119, 120, 121, 122, 200])
+def test_words_one_error_apart_share_a_form(spark, length):
+    rng = random.Random(length)
+    word = "".join(rng.choice("ABCDEFGH") for _ in range(length))
+    others = set()
+    for i in range(0, length, max(1, length // 12)):
+        others |= {word[:i] + "Z" + word[i:], word[:i] + word[i + 1 :], word[:i] + "Z" + word[i + 1 :], word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :]}
+    df = spark.createDataFrame([(word, o) for o in others], "a string, b string")
+    assert df.where(~F.arrays_overlap(names.one_out(F.col("a")), names.one_out(F.col("b")))).count() == 0
+
+
 def test_no_names(spark):
     assert names.linked_names(spark.createDataFrame([], "name string")).count() == 0
 
@@ -120,28 +145,60 @@ def test_one_place_written_in_many_ways(spark):
         ("d1", "One Fifth Ave", "Saint Brook", "NY", "12345"),
         ("d2", "1 5th Avenue", None, "NY", "12345"),
     ]
-    got = {tuple(r) for r in places.same_place_pairs(places.spots(records(spark, data))).collect()}
+    got = {tuple(r) for r in places.same_place_pairs(places.spots(records(spark, data))[0]).collect()}
     assert {("a1", "a2"), ("a1", "a3"), ("a2", "a3"), ("a1", "a4"), ("a4", "a5"), ("b1", "b2"), ("d1", "d2")} <= got
     assert not any("a6" in p for p in got) and ("a1", "a5") not in got and not any("c1" in p for p in got)
 
 
 def test_records_written_alike_are_no_pair(spark):
     same = ("250 W Harbor Street", "Saint Brook", "NY", "12345")
-    assert places.same_place_pairs(places.spots(records(spark, [("a", *same), ("b", *same)]))).count() == 0
-    assert places.spots(records(spark, [("x", None, None, None, None)])).count() == 0
+    assert places.same_place_pairs(places.spots(records(spark, [("a", *same), ("b", *same)]))[0]).count() == 0
+    assert places.spots(records(spark, [("x", None, None, None, None)]))[0].count() == 0
+
+
+def test_ambiguous_places_stay_explicit(spark):
+    data = [("a", "7 Main St", "Ashby", "OH", "44001"), ("b", "7 Main St", "Dover", "OH", "44002"), ("c", "7 Main St", None, "OH", None), ("d", "9 Lake Rd", "Ashby", "OH", "44001"), ("e", "9 Lake Road", None, "OH", None)]
+    found, candidates = places.spots(records(spark, data))
+    got = {r.record_key: r for r in found.collect()}
+    assert (got["c"].open_level, got["c"].candidates, got["c"].spot) == ("locality", 2, None)
+    assert got["e"].open_level is None and got["e"].spot == got["d"].spot
+    assert {r.place for r in candidates.collect()} == {"OH|ASHBY", "OH|DOVER"}
 
 
 # residue
 
 
+def corpus(spark, extra):
+    rng = random.Random(8)
+    prose = ["The committee heard testimony on river cleanups from ferry crews.", "Volunteers gave many hours to the audit committee.", "Line 8 [as amended] and item {8} remain in force.", "Grants under $700 are listed in total.", "The draft left the word \"household\" undefined, and staff asked for a fix."]
+    labels = ["first name", "county", "grant amount", "board chair", "fiscal year"]
+    forms = ["{{%s}}", "${%s}", "<%% %s %%>", "[INSERT %s]", "@@%s@@"]
+    errors = ["Page not found", "Access denied", "Bad gateway", "The request took too long", "Rate limit reached, slow down"]
+    frames = ['{"status": 404, "error": "%s"}', "Error 500 - %s", "Sorry! %s (code 403)\nHome | About | Donate", "HTTP 502: %s"]
+    rows = [" ".join(rng.choice(prose) for _ in range(6)) for _ in range(600)]
+    rows += [rng.choice(prose) + " The office in " + rng.choice(forms) % rng.choice(labels).replace(" ", "_") + " is open." for _ in range(120)]
+    rows += [rng.choice(frames) % rng.choice(errors) for _ in range(120)]
+    rows += ["lorem ipsum " + " ".join(rng.choice(["dolor", "amet", "sit", "velunta"]) for _ in range(12)) for _ in range(30)]
+    data = [*extra, *((1000 + k, t) for k, t in enumerate(rows))]
+    return spark.createDataFrame(data, "doc_id long, text string").withColumn("kind", F.lit(0)).withColumn("odds", F.lit(1)), prose
+
+
 def test_residue_and_its_mentions(spark):
-    prose = "The committee heard testimony on river cleanups from ferry crews and from the audit committee. Volunteers gave many hours."
-    bad = {1: "Dear {{first_name}}, thank you.", 2: "Access denied\nHome | About | Donate", 3: "Lorem ipsum dolor sit amet velunta.", 4: '{"status": 404, "error": "Page not found"}', 5: prose + " The office in [INSERT CITY] is open.", 6: "asdf asdf asdf asdf asdf", 7: "Please enable JavaScript to view this page."}
-    good = {20: prose, 21: prose + "\nBest viewed with JavaScript enabled.", 22: 'Staff removes tokens such as "{{first_name}}" from the file.', 23: None, 24: "", 25: "   ", 26: "Line 8 [as amended] and item {8} remain in force.", 27: prose * 3000}
-    # what is said often without residue beside it is learned to be none
-    many = [(100 + k, prose) for k in range(200)] + [(400 + k, good[26]) for k in range(20)]
-    df = spark.createDataFrame([*bad.items(), *good.items(), *many], "doc_id long, text string").withColumn("kind", F.lit(0)).withColumn("odds", F.lit(1))
-    assert [r.doc_id for r in residue.residue(df).orderBy("doc_id").collect()] == sorted(bad)
+    prose = "The committee heard testimony on river cleanups from ferry crews. Volunteers gave many hours to the audit committee."
+    # forms and wordings that are nowhere trusted: learned from what they share with the trusted ones
+    bad = {1: "Dear {{first_name}}, thank you.", 2: "Access denied\nHome | About | Donate", 3: "Lorem ipsum dolor sit amet velunta.", 4: prose + " The office in {county} is open.", 5: "The request took too long", 6: "asdf asdf asdf asdf asdf", 7: "Ipsum velunta dolor amet sit amet dolor amet sit velunta dolor.", 8: "HTTP 429: rate limit reached, slow down"}
+    good = {20: prose, 21: prose + "\nBest viewed with JavaScript enabled.", 22: 'Staff removes tokens such as "{{first_name}}" from the file.', 23: None, 24: "", 25: "   ", 26: "Line 8 [as amended] and item {8} remain in force.", 27: prose * 3000, 28: 'The draft left the word "household" undefined, and staff asked for a fix.'}
+    df, _ = corpus(spark, [*bad.items(), *good.items()])
+    got = {r.doc_id for r in residue.residue(df).collect()}
+    assert {k for k in got if k < 1000} == set(bad)
+
+
+def test_without_the_model_there_is_no_residue(spark, monkeypatch):
+    df, _ = corpus(spark, [])
+    assert residue.residue(df).count() > 200
+    flat = residue.Model(np.zeros((residue.BUCKETS, 5)), np.log([0.9, 0.1, 0.9, 0.05, 0.05]))
+    monkeypatch.setattr(residue, "learn", lambda feats, rounds=0: flat)
+    assert residue.residue(df).count() == 0
 
 
 def test_no_documents(spark):
