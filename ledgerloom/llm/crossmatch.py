@@ -2,40 +2,46 @@
 
 Observations become records of a graph record - attribute value - token: names as canonical words and
 hashed letter triples, states, ZIP codes, native identifiers. Random walks over it train skip-gram
-vectors; a name's vector is made of those of its tokens. Names are blocked by state, by the common words
-that must agree, and by several tables of hyperplane signs, candidates are reranked by their exact cosine,
-and cosines are calibrated to confidences on pairs within one source, where native identifiers tell the
-truth. An exact check of the words that tell organisations apart decides.
+vectors; a name's vector is made of those of its tokens, a place's of those of its state and ZIP area. Names
+are blocked by state, by the common words that must agree, and by several tables of hyperplane signs; a name
+that several organisations bear meets itself there. Candidates are reranked by the exact cosine of name and
+place, and cosines are calibrated to confidences on candidates within one source, where native identifiers tell
+the truth. What the confidence finds likely is taken if it also passes an exact check of the words that tell
+organisations apart.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
+from ..operators.skew import lookup
 from ..session import cut, table
 from .names import DESIGNATIONS, FORMS, cleaned, initials, name_keys, one_error, written
 
 #: Letter triples are hashed to this many nodes, so the vocabulary has a fixed bound.
 TRIPLES = 1 << 13
 DIMENSIONS, WINDOW, HOPS = 32, 4, 2
-#: Neighbours that a walk can choose from at a value; a random choice of all its records.
-CHOICES = 16
-#: Candidates below this cosine are not looked at further; two names at it meet in a slot with probability RECALL at least.
+#: A value's records are dealt to so many on average in a part; a walk picks a part, then a record of it, so it can reach all.
+IN_A_PART = 16
+#: Sentences in a partition of the training, whatever the cluster.
+SENTENCES = 20_000
+#: Weight of the place beside the name.
+PLACE = 0.4
+#: Two names at this cosine meet in a slot with probability RECALL at least; candidates below it are not looked at further.
 LEAST_COSINE, RECALL = 0.5, 0.9
+#: Pairs count as the same organisation from this confidence on.
+LEAST_CONFIDENCE = 0.5
 #: A block of names gets so many hyperplanes that a slot holds about this many of them; blocks no larger are compared whole.
 PER_SLOT = 64
-#: For calibration only: hash tables, and hyperplanes in each, for up to PLANES doublings of SPARSE names in a state; a
-#: further plane and four further tables for each doubling beyond.
-TABLES, PLANES, SPARSE = 24, 11, 8
+#: Sources in which different identifiers mean different organisations, for calibration.
+SURE_SOURCES = ("IRS990", "FEC")
 SEED = 7
 
 
@@ -72,27 +78,35 @@ def triples(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.concat(F.lit("g"), F.pmod(F.xxhash64(F.substring(padded, i, F.lit(3))), F.lit(TRIPLES))))
 
 
-def profiles(obs: DataFrame) -> DataFrame:
-    """(pid, clean, rare, bag, words, grams): the canonical readings of the distinct cleaned names."""
-    clean = obs.where("clean IS NOT NULL").select("clean").distinct()
-    keys = name_keys(clean, clean.count())
-    df = keys.select("clean", "rare", "bag", F.transform("bag", lambda w: F.concat(F.lit("w"), w)).alias("words"), F.when(F.col("rare") != "", triples(F.col("rare"))).otherwise(F.array().cast("array<string>")).alias("grams"))
-    return cut(df.withColumn("pid", F.monotonically_increasing_id()))
+def profiles(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pid, rare, bag, words, grams) of the distinct canonical names, and (clean, pid): the canonical readings of each cleaned name."""
+    clean = cut(obs.where("clean IS NOT NULL").select("clean").distinct())
+    keys = cut(name_keys(clean, clean.count()).where("NOT spare").select("clean", "rare", "bag").distinct())
+    df = keys.select("rare", "bag").distinct()
+    df = df.select("rare", "bag", F.transform("bag", lambda w: F.concat(F.lit("w"), w)).alias("words"), F.when(F.col("rare") != "", triples(F.col("rare"))).otherwise(F.array().cast("array<string>")).alias("grams"))
+    prof = cut(df.withColumn("pid", F.monotonically_increasing_id()))
+    return prof, cut(keys.join(prof.select("rare", "bag", "pid"), ["rare", "bag"]).select("clean", "pid"))
 
 
-def walks(obs: DataFrame, prof: DataFrame) -> DataFrame:
+def walks(obs: DataFrame, prof: DataFrame, readings: DataFrame) -> DataFrame:
     """(sentence): for each record a random walk over attribute values to other records, as tokens of the records it passes."""
     records = obs.where("clean IS NOT NULL").groupBy("entity", "clean", "state", "zip3").agg(F.min("id").alias("rid"))
-    records = cut(records.join(prof.groupBy("clean").agg(F.min_by(F.struct("rare", "words", "grams"), "pid").alias("p")), "clean").select("rid", "entity", "state", "zip3", "p.rare", "p.words", "p.grams"))
+    records = records.join(readings.groupBy("clean").agg(F.min("pid").alias("pid")), "clean").join(prof.select("pid", "rare", "words", "grams"), "pid")
+    records = cut(records.select("rid", "entity", "state", "zip3", "rare", "words", "grams"))
     values = records.select("rid", F.explode(F.filter(F.array(F.concat(F.lit("r"), F.nullif("rare", F.lit(""))), F.concat(F.lit("e"), "entity"), F.concat(F.lit("z"), "zip3")), lambda v: v.isNotNull())).alias("value"))
     values = cut(values)
-    at = values.groupBy("value").agg(InternalFunction.collect_top_k(F.struct(F.xxhash64("rid", "value", F.lit(SEED)).alias("h"), "rid"), CHOICES, False).alias("near"))
-    ends = values.withColumn("h", F.xxhash64("rid", "value", F.lit(SEED + 1))).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("h", "value"))).alias("v"))
+    # a value that many records share is in many parts, so it is neither one list nor one key of a join
+    sizes = values.groupBy("value").agg(F.ceil(F.count("*") / IN_A_PART).alias("parts"))
+    values = cut(lookup(values, "value", sizes.withColumn("n", F.col("parts") * IN_A_PART), "n", values.count() + IN_A_PART * 1000))
+    at = values.groupBy("value", F.pmod(F.xxhash64("rid", "value", F.lit(SEED)), "parts").alias("part")).agg(F.array_sort(F.collect_list("rid")).alias("near"))
+    ends = values.withColumn("h", F.xxhash64("rid", "value", F.lit(SEED + 1))).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("h", "value", "parts"))).alias("v"))
     pick = lambda a, *salt: F.element_at(a, (F.pmod(F.xxhash64(*salt), F.size(a)) + 1).cast("int"))
     path = records.select(F.col("rid").alias("start"), F.col("rid").alias("here"), F.array(F.col("rid")).alias("path"))
     for hop in range(HOPS):
-        path = path.join(ends.withColumnRenamed("rid", "here"), "here").withColumn("value", pick(F.col("v"), F.col("start"), F.lit(hop))["value"]).drop("v")
-        path = path.join(at, "value").withColumn("here", pick(F.col("near"), F.col("start"), F.lit(hop + 50))["rid"]).drop("near", "value")
+        path = path.join(ends.withColumnRenamed("rid", "here"), "here").withColumn("to", pick(F.col("v"), F.col("start"), F.lit(hop)))
+        path = path.select("start", "path", "to.value", F.pmod(F.xxhash64("start", F.lit(hop + 20)), "to.parts").alias("part"))
+        # a part without records (hashing may leave one out) keeps the walk where it is
+        path = path.join(at, ["value", "part"], "left").withColumn("here", F.coalesce(pick(F.col("near"), F.col("start"), F.lit(hop + 50)), F.element_at("path", -1))).drop("near", "value", "part")
         path = path.withColumn("path", F.concat("path", F.array("here")))
     some = lambda a, n, salt: F.slice(F.shuffle(a, F.lit(SEED + salt)), 1, n)
     own = F.concat(F.array_compact(F.array(F.concat(F.lit("s"), "state"), F.concat(F.lit("z"), "zip3"))), some(F.col("words"), 3, 1), some(F.col("grams"), 6, 2))
@@ -103,11 +117,10 @@ def walks(obs: DataFrame, prof: DataFrame) -> DataFrame:
 
 def token_vectors(sentences: DataFrame) -> dict[str, np.ndarray]:
     """Skip-gram vectors of the tokens: letter triples, common words, states and ZIP areas, all bounded in number."""
-    session = sentences.sparkSession
     sentences = cut(sentences.where(F.size("sentence") > 0))
-    if sentences.isEmpty():
+    parts = math.ceil(sentences.count() / SENTENCES)
+    if not parts:
         return {}
-    parts = max(1, session.sparkContext.defaultParallelism)
     model = Word2Vec(vectorSize=DIMENSIONS, windowSize=WINDOW, minCount=1, numPartitions=parts, maxIter=1, stepSize=0.05, seed=SEED, inputCol="sentence", outputCol="v").fit(sentences.repartition(parts))
     return {r.word: r.vector.toArray() for r in model.getVectors().collect()}
 
@@ -168,29 +181,13 @@ def hashed(vecs: DataFrame) -> DataFrame:
     return vecs.select("pid", "block", "planes", "v").mapInArrow(signs, "pid long, block long, slot long")
 
 
-def sparsely_hashed(vecs: DataFrame, most: int) -> DataFrame:
-    """(pid, slot): one slot per hash table of small slots, for states of ``most`` names at most."""
-    size = max(PLANES, int(np.ceil(np.log2(max(1, most) / SPARSE))))
-    tables = TABLES + 4 * (size - PLANES)
-    planes = np.random.default_rng(SEED).normal(size=(2 * DIMENSIONS, tables * size)).astype(np.float32)
-    weights = 1 << np.arange(size, dtype=np.int64)
-
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * DIMENSIONS)
-            bits = (v @ planes > 0).reshape(len(v), tables, size) @ weights + np.arange(tables) * (1 << size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), tables)), pa.array(bits.ravel())], ["pid", "slot"])
-
-    return vecs.mapInArrow(signs, "pid long, slot long")
-
-
 def stem(bag: Column) -> Column:
     """What ``same_words`` wants alike in two bags, whatever else they hold: all words but organisational forms, first names as initials."""
     return F.array_join(F.array_sort(F.array_distinct(initials(F.array_except(bag, F.array(*[F.lit(w) for w in FORMS]))))), " ")
 
 
 def letters(word: Column) -> Column:
-    """The letters of a word as bits. A wrong letter turns two bits at most, so words that ``same_words`` takes differ in four at most."""
+    """The letters of a word as bits: one wrong letter turns two at most, a missing one one."""
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
     return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(bit(c)))
 
@@ -232,78 +229,95 @@ def calibrated(pairs: DataFrame) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def placed(obs: DataFrame, prof: DataFrame) -> DataFrame:
-    """(pid, state): the states of each name, NULL where it is seen without one."""
-    return cut(obs.where("clean IS NOT NULL").select("clean", "state").distinct().join(prof.select("clean", "pid"), "clean").select("pid", "state").distinct())
-
-
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def candidate_names(obs: DataFrame, prof: DataFrame, vecs: DataFrame) -> DataFrame:
-    """(pa, pb, cosine): pairs of names that meet in a hash table within a state and pass the exact check, with exact cosines.
+def candidate_names(of_state: DataFrame, prof: DataFrame, vecs: DataFrame) -> DataFrame:
+    """(pa, pb, name_cosine, passes), pa <= pb: pairs of names that meet in a hash table within a state (``of_state``: pid, state), with exact cosines.
 
-    Names seen only without a state meet those of all states. Both orders of a pair are one. Only
-    names with the same ``stem`` meet: the exact check takes no others.
+    Names seen only without a state meet those of all states, and every name meets itself. ``passes`` says whether the exact
+    check takes the two. Only names with the same ``stem`` meet, and whose letters differ by no more than the check allows.
     """
-    keys = prof.where("rare <> ''").select("pid", stem(F.col("bag")).alias("stem"))
-    members = cut(placed(obs, prof).join(keys, "pid"))
-    lone = members.where("state IS NULL").select("pid", "stem")
-    home = members.where("state IS NOT NULL").select("pid", F.xxhash64("state", "stem").alias("block"), F.lit(True).alias("asks"))
+    keys = prof.select("pid", stem(F.col("bag")).alias("stem"), F.length("rare").alias("len"), letters(F.col("rare")).alias("letters"))
+    members = cut(of_state.join(keys, "pid"))
+    told = ["pid", "len", "letters"]
+    home = members.where("state IS NOT NULL").select(*told, F.xxhash64("state", "stem").alias("block"), F.lit(True).alias("asks"))
     # in the blocks over all states only names without a state look for others
-    wide = members.select("pid", "stem").distinct().join(lone.select("stem").distinct(), "stem").join(lone.select("pid", F.lit(True).alias("asks")), "pid", "left")
-    rows = cut(home.unionByName(wide.select("pid", F.xxhash64(F.lit("*"), "stem").alias("block"), F.coalesce("asks", F.lit(False)).alias("asks"))))
-    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PER_SLOT))).cast("int").alias("planes"))
-    slots = hashed(rows.join(sizes, "block").join(vecs, "pid"))
-    slots = slots.join(rows, ["pid", "block"]).join(prof.select("pid", letters(F.col("rare")).alias("letters")), "pid")
-    slots = cut(slots.select("pid", "asks", "letters", F.xxhash64("block", "slot").alias("slot")))
-    a = slots.where("asks").select("slot", F.col("pid").alias("pa"), F.col("letters").alias("la"))
-    b = slots.select("slot", F.col("pid").alias("pb"), F.col("letters").alias("lb"), "asks")
-    near = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) <= 4
-    pairs = a.join(b, "slot").where("pa < pb OR pa > pb AND NOT asks").where(near).select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb")).distinct()
-    key = prof.select("pid", F.struct("rare", "bag").alias("k"))
-    same = cut(pairs.join(key.select(F.col("pid").alias("pa"), F.col("k").alias("ka")), "pa").join(key.select(F.col("pid").alias("pb"), F.col("k").alias("kb")), "pb").where(same_words("ka", "kb")).select("pa", "pb"))
-    both = same.join(vecs.select(F.col("pid").alias("pa"), F.col("v").alias("va")), "pa").join(vecs.select(F.col("pid").alias("pb"), F.col("v").alias("vb")), "pb")
-    return both.select("pa", "pb", dot("va", "vb").alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
-
-
-def rated_names(obs: DataFrame, prof: DataFrame, vecs: DataFrame) -> DataFrame:
-    """(pa, pb, cosine): pairs of any names for calibration, those that meet in two tables of small slots within a state.
-
-    Whether two names meet depends on their cosine alone, so at each cosine they are a fair sample.
+    lone = members.where("state IS NULL").select("pid", "stem")
+    wide = members.select(*told, "stem").distinct().join(lone.select("stem").distinct(), "stem").join(lone.select("pid", F.lit(True).alias("asks")), "pid", "left")
+    rows = cut(home.unionByName(wide.select(*told, F.xxhash64(F.lit("*"), "stem").alias("block"), F.coalesce("asks", F.lit(False)).alias("asks"))))
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).select("block", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PER_SLOT))).cast("int").alias("planes"))
+    slots = hashed(rows.select("pid", "block").join(sizes, "block").join(vecs, "pid"))
+    slots = cut(slots.join(rows, ["pid", "block"]).select(*told, "asks", F.xxhash64("block", "slot").alias("slot")))
+    a = slots.where("asks").select("slot", F.col("pid").alias("pa"), F.col("letters").alias("ta"), F.col("len").alias("na"))
+    b = slots.select("slot", F.col("pid").alias("pb"), F.col("letters").alias("tb"), F.col("len").alias("nb"), "asks")
+    wrong, longer = F.bit_count(F.col("ta").bitwiseXOR(F.col("tb"))), F.abs(F.col("na") - F.col("nb"))
+    near = (wrong <= 2) & (longer <= 1) | (F.least("na", "nb") > 8) & (wrong <= 4) & (longer <= 2)
+    pairs = a.join(b, "slot").where("pa <= pb OR pa > pb AND NOT asks").where(near).select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb")).distinct()
+    key = prof.select("pid", F.struct("rare", "bag").alias("k")).join(vecs, "pid")
+    both = pairs.join(key.toDF("pa", "ka", "va"), "pa").join(key.toDF("pb", "kb", "vb"), "pb")
+    same = (F.col("pa") == F.col("pb")) | same_words("ka", "kb")
+    return both.select("pa", "pb", dot("va", "vb").alias("name_cosine"), F.coalesce(same, F.lit(False)).alias("passes")).where(F.col("name_cosine") >= LEAST_COSINE)
+
+
+def reranked(pairs: DataFrame, of: dict[str, np.ndarray]) -> DataFrame:
+    """``pairs`` (name_cosine, a_state, a_zip3, b_state, b_zip3) with ``cosine`` of name and place, of the name alone where a side has no place.
+
+    Place tokens are bounded in number (states and three-digit areas), so their vectors travel with the task.
     """
-    of_state = placed(obs, prof)
-    most = of_state.groupBy("state").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    slots = cut(sparsely_hashed(vecs, most).join(of_state, "pid").select("pid", "slot", "state"))
-    one, two = slots.where("state IS NOT NULL"), slots.where("state IS NULL").drop("state")
-    met = one.withColumnRenamed("pid", "pa").join(one.withColumnRenamed("pid", "pb"), ["slot", "state"]).where("pa < pb").select("pa", "pb", "slot")
-    open_ = two.withColumnRenamed("pid", "pa").join(slots.select("slot", F.col("pid").alias("pb")), "slot").where("pa <> pb").select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"), "slot")
-    pairs = met.unionByName(open_).groupBy("pa", "pb").agg(F.min("slot").alias("x"), F.max("slot").alias("y")).where("x < y").select("pa", "pb")
-    both = pairs.join(vecs.select(F.col("pid").alias("pa"), F.col("v").alias("va")), "pa").join(vecs.select(F.col("pid").alias("pb"), F.col("v").alias("vb")), "pb")
-    return both.select("pa", "pb", dot("va", "vb").alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    places = {t: v for t, v in of.items() if t[:1] in ("s", "z")}
+    mean = np.mean(list(places.values()), 0) if places else np.zeros(DIMENSIONS)
+    places = {t: (v - mean) / max(np.linalg.norm(v - mean), 1e-9) for t, v in places.items()}
+
+    def side(state: pa.Array, area: pa.Array) -> np.ndarray:
+        none = np.zeros(DIMENSIONS)
+        v = np.array([places.get(f"s{s}", none) + places.get(f"z{z}", none) for s, z in zip(state.to_pylist(), area.to_pylist(), strict=True)]).reshape(-1, DIMENSIONS)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (side(b.column(f"{e}_state"), b.column(f"{e}_zip3")) for e in "ab")
+            name = b.column("name_cosine").to_numpy()
+            known = (np.abs(x).sum(1) > 0) & (np.abs(y).sum(1) > 0)
+            cosine = np.where(known, (name + PLACE**2 * (x * y).sum(1)) / (1 + PLACE**2), name)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cosine)], [*b.schema.names, "cosine"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", cosine double"
+    return pairs.mapInArrow(rerank, schema)
+
+
+def scored_entities(df: DataFrame) -> tuple[DataFrame, DataFrame, float, float]:
+    """Observations, (left_entity, right_entity, ls, rs, passes, cosine, confidence) of all candidates within and across sources, and slope and offset of the log-odds."""
+    obs = cut(observations(df))
+    prof, readings = profiles(obs)
+    of = token_vectors(walks(obs, prof, readings))
+    vecs = cut(vectors(prof, of))
+    bearers = obs.where("clean IS NOT NULL").join(readings, "clean").groupBy("entity", "source", "pid")
+    named = cut(bearers.agg(F.mode("state").alias("state"), F.mode("zip3").alias("zip3")))
+    of_state = cut(obs.where("clean IS NOT NULL").join(readings, "clean").select("pid", "state").distinct())
+    names = cut(candidate_names(of_state, prof, vecs))
+    turned = names.where("pa < pb").select(F.col("pb").alias("pa"), F.col("pa").alias("pb"), "name_cosine", "passes")
+    a = named.select(F.col("entity").alias("left_entity"), F.col("source").alias("ls"), F.col("pid").alias("pa"), F.col("state").alias("a_state"), F.col("zip3").alias("a_zip3"))
+    b = named.select(F.col("entity").alias("right_entity"), F.col("source").alias("rs"), F.col("pid").alias("pb"), F.col("state").alias("b_state"), F.col("zip3").alias("b_zip3"))
+    met = a.join(names.unionByName(turned), "pa").join(b, "pb").where("ls < rs OR ls = rs AND (left_entity < right_entity OR left_entity = right_entity AND pa < pb)").drop("pa", "pb")
+    scored = cut(reranked(met, of).select("left_entity", "right_entity", "ls", "rs", "passes", "cosine"))
+    known = ~F.col("left_entity").startswith("observation:") & ~F.col("right_entity").startswith("observation:")
+    within = scored.where((F.col("ls") == F.col("rs")) & F.col("ls").isin(*SURE_SOURCES) & known)
+    slope, offset = calibrated(within.select("cosine", (F.col("left_entity") == F.col("right_entity")).alias("same")))
+    confidence = F.round(1 / (1 + F.exp(-(F.lit(slope) * F.col("cosine") + F.lit(offset)))), 6)
+    return obs, scored.withColumn("confidence", confidence), slope, offset
 
 
 def matches(df: DataFrame) -> DataFrame:
     """(left_entity, right_entity, cosine, confidence): organisations as two different sources know them that are the same.
 
-    Two such entities match if a name of one passes for a name of the other and they share a state. An
+    Two such entities match if names and places of theirs give a confidence of ``LEAST_CONFIDENCE`` at least, pass the exact check, and they share a state. An
     entity without any state matches only if all it could be are in one state.
     """
-    obs = cut(observations(df))
-    prof = profiles(obs)
-    vecs = cut(vectors(prof, token_vectors(walks(obs, prof))))
-    named = cut(obs.where("clean IS NOT NULL").select("entity", "source", "clean").distinct().join(prof.select("clean", "pid"), "clean").select("entity", "source", "pid").distinct())
-    slope, offset = calibrated(_within(rated_names(obs, prof, vecs), named))
-    good = cut(candidate_names(obs, prof, vecs))
-    itself = prof.select(F.col("pid").alias("pa"), F.col("pid").alias("pb"), F.lit(1.0).alias("cosine"))
-    # readings of one cleaned name are one name
-    twins = prof.select("clean", F.col("pid").alias("pa")).join(prof.select("clean", F.col("pid").alias("pb")), "clean").where("pa < pb").select("pa", "pb", F.lit(1.0).alias("cosine"))
-    named_by = [good, good.select(F.col("pb").alias("pa"), F.col("pa").alias("pb"), "cosine"), itself, twins, twins.select(F.col("pb").alias("pa"), F.col("pa").alias("pb"), "cosine")]
-    all_ = reduce(DataFrame.unionByName, named_by)
-    a = named.select(F.col("entity").alias("left_entity"), F.col("source").alias("ls"), F.col("pid").alias("pa"))
-    b = named.select(F.col("entity").alias("right_entity"), F.col("source").alias("rs"), F.col("pid").alias("pb"))
-    pairs = a.join(all_, "pa").join(b, "pb").where("ls < rs").groupBy("left_entity", "right_entity", "ls", "rs").agg(F.max("cosine").alias("cosine"))
+    obs, scored, _, _ = scored_entities(df)
+    likely = scored.where((F.col("ls") < F.col("rs")) & F.col("passes") & (F.col("confidence") >= LEAST_CONFIDENCE))
+    pairs = likely.groupBy("left_entity", "right_entity").agg(F.max("cosine").alias("cosine"), F.max("confidence").alias("confidence"))
     states = cut(obs.where("state IS NOT NULL").select("entity", "state").distinct())
     home = states.groupBy("entity").agg(F.min("state").alias("home"))
     pairs = cut(pairs.join(home.select(F.col("entity").alias("left_entity"), F.col("home").alias("lh")), "left_entity", "left").join(home.select(F.col("entity").alias("right_entity"), F.col("home").alias("rh")), "right_entity", "left"))
@@ -314,16 +328,18 @@ def matches(df: DataFrame) -> DataFrame:
     bare = bare.withColumn("lone", lone).withColumn("there", F.coalesce("rh", "lh"))
     one = bare.groupBy("lone").agg(F.min("there").alias("x"), F.max("there").alias("y")).where("x IS NULL OR x = y").select("lone")
     kept = shared.unionByName(bare.join(one, "lone", "left_semi").drop("lone", "there"))
-    odds = F.lit(slope) * F.col("cosine") + F.lit(offset)
-    return kept.select("left_entity", "right_entity", F.round("cosine", 6).alias("cosine"), F.round(1 / (1 + F.exp(-odds)), 6).alias("confidence"))
+    return kept.select("left_entity", "right_entity", F.round("cosine", 6).alias("cosine"), "confidence")
 
 
-def _within(found: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs of names that one source has: the same organisation if some entity bears both."""
-    owners = named.groupBy("source", "pid").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
-    a = owners.select("source", F.col("pid").alias("pa"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    b = owners.select("source", F.col("pid").alias("pb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    return found.join(a, "pa").join(b, ["pb", "source"]).select("cosine", ((F.col("la") == F.col("lb")) | (F.col("ha") == F.col("hb"))).alias("same"))
+def reliability(df: DataFrame) -> DataFrame:
+    """(decile, pairs, expected, observed): confidences against the truth, on candidates within sources of the half of the organisations that a second fit has not seen."""
+    _, scored, _, _ = scored_entities(df)
+    known = ~F.col("left_entity").startswith("observation:") & ~F.col("right_entity").startswith("observation:")
+    within = scored.where((F.col("ls") == F.col("rs")) & F.col("ls").isin(*SURE_SOURCES) & known).select("cosine", (F.col("left_entity") == F.col("right_entity")).alias("same"), (F.pmod(F.xxhash64("left_entity"), F.lit(2)) == 1).alias("held"))
+    within = cut(within)
+    slope, offset = calibrated(within.where("NOT held"))
+    p = 1 / (1 + F.exp(-(F.lit(slope) * F.col("cosine") + F.lit(offset))))
+    return within.where("held").groupBy(F.least(F.floor(p * 10), F.lit(9)).alias("decile")).agg(F.count("*").alias("pairs"), F.round(F.avg(p), 4).alias("expected"), F.round(F.avg(F.col("same").cast("double")), 4).alias("observed"))
 
 
 def observation_pairs(df: DataFrame, matched: DataFrame) -> DataFrame:
@@ -335,6 +351,11 @@ def observation_pairs(df: DataFrame, matched: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("left_observation_id"), F.greatest("x", "y").alias("right_observation_id"), "confidence").distinct()
 
 
+def p7_reliability(spark, sf_dir: str) -> DataFrame:
+    """How far the confidences hold on organisations that the fit has not seen."""
+    return reliability(table(spark, sf_dir, "entity_observations"))
+
+
 def p7_matches(spark, sf_dir: str) -> DataFrame:
     """Matches between organisations as the sources know them, with confidences."""
     return matches(table(spark, sf_dir, "entity_observations"))
