@@ -36,8 +36,8 @@ SENTENCES = 20_000
 PLACE = 0.4
 #: Two names at this cosine meet in a slot with probability RECALL at least; candidates below it are not looked at further.
 LEAST_COSINE, RECALL = 0.5, 0.9
-#: Pairs count as the same organisation from this confidence on.
-LEAST_CONFIDENCE = 0.5
+#: Pairs below this confidence are not taken. It is low since an exact check follows.
+LEAST_CONFIDENCE = 0.1
 #: A block of names gets so many hyperplanes that a slot holds about this many of them; blocks no larger are compared whole.
 PER_SLOT = 64
 #: Sources in which different identifiers mean different organisations, for calibration.

@@ -1,9 +1,8 @@
-"""Problem 8: filling fixed-capacity containers, by best-fit decreasing over the lengths of items.
+"""Problem 8: filling fixed-capacity containers, tier by tier over the lengths of items.
 
-Containers are opened by the longest items left; what is free in them is filled with the longest
-item that fits. That takes from the tier of the opening item (tiers are halved context sizes) before
-shorter ones; tiers are not packed one by one, an item's tier is a label. The plan is made on the histogram of lengths, which has at
-most as many rows as a container has tokens, however many items there are: it says how often each
+Items are routed to tiers of halved context sizes by their length. Each tier is packed in turn, from the longest: its own items open
+containers, longest first, and the gap that is left is filled from the shorter tiers, with the longest item that fits. The plan is
+made on the histogram of lengths, which has at most as many rows as a container has tokens, however many items there are: it says how often each
 filling pattern is used. Every item then finds its container from its place among the items of its
 length. Containers are dealt to step groups in turn by cost, so that groups cost about the same.
 """
@@ -27,41 +26,47 @@ STEP = 16
 TIERS = 5
 
 
-def patterns(lengths: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(times, [(length, items of it in a container)]): how the items of a length histogram fill containers.
+def tier(length: int, capacity: int) -> int:
+    """0 for more than half of the capacity, 1 for more than a quarter, and so on."""
+    return min(TIERS - 1, max(0, (capacity // max(1, length)).bit_length() - 1))
+
+
+def patterns(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(tier, times, [(length, items of it in a container)]): how the items of a length histogram fill containers, tier by tier.
 
     Every pattern is repeated until one of its lengths runs out, so there are no more patterns than
     lengths.
     """
     left = {n: c for n, c in lengths.items() if 0 < n <= capacity and c > 0}
-    order = sorted(left)
+    routed: list[list[int]] = [[] for _ in range(TIERS)]
+    for n in sorted(left):
+        routed[tier(n, capacity)].append(n)
     made = []
-    while order:
-        free, use = capacity, []
-        at = len(order) - 1
-        while at >= 0:
-            n = order[at]
-            k = min(free // n, left[n])
-            if k:
-                use.append((n, k))
-                free -= k * n
-            at = min(at, bisect_right(order, free)) - 1
-        times = min(left[n] // k for n, k in use)
-        made.append((times, use))
-        for n, k in use:
-            left[n] -= k * times
-            if not left[n]:
-                order.pop(bisect_right(order, n) - 1)
+    for t, own in enumerate(routed):
+        while own:
+            free, use = capacity, []
+            # the tier's own items first, then its gap from the shorter tiers
+            for lane in routed[t:]:
+                at = bisect_right(lane, free) - 1
+                while at >= 0:
+                    n = lane[at]
+                    k = min(free // n, left[n])
+                    if k:
+                        use.append((n, k))
+                        free -= k * n
+                    at = min(at, bisect_right(lane, free)) - 1
+            times = min(left[n] // k for n, k in use)
+            made.append((t, times, use))
+            for n, k in use:
+                left[n] -= k * times
+                if not left[n]:
+                    lane = routed[tier(n, capacity)]
+                    lane.pop(bisect_right(lane, n) - 1)
     return made
 
 
-def tier(length: int, capacity: int) -> int:
-    """0 for more than half of the capacity, 1 for more than a quarter, and so on."""
-    return min(TIERS - 1, max(0, (capacity // max(1, length)).bit_length() - 1))
-
-
 def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
-    """(key, piece, n_tokens, tier, container, position, starts_at, step_group): the place of every item.
+    """(key, piece, n_tokens, tier, container, container_tier, position, starts_at, step_group): the place of every item, the tier that it is routed to and the tier that its container is packed for.
 
     Items of size 0 or NULL take no container. An item larger than the capacity is cut into full
     pieces and a rest (``piece`` from 0); no other item is split. ``key`` should be unique, rows that
@@ -81,17 +86,17 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     taken = dict(first)
     ranges, container = [], 0
     costs = []
-    for times, use in made:
+    for t, times, use in made:
         offset = position = 0
         for n, k in use:
-            ranges.append((taken[n], k, container, offset, position, n))
+            ranges.append((taken[n], k, container, offset, position, n, t))
             taken[n] += k * times
             offset += n * k
             position += k
         costs.append((sum(k * n * n for n, k in use), container, times))
         container += times
     ranges.sort()
-    plan = np.array(ranges, np.int64).reshape(-1, 6)
+    plan = np.array(ranges, np.int64).reshape(-1, 7)
     # containers in order of cost, dealt forth and back over the groups
     groups = max(1, -(-container // STEP))
     ranks = np.array([(c, r, t) for (_, c, t), r in zip(sorted(costs), accumulate([0, *[t for _, _, t in sorted(costs)]]), strict=False)], np.int64).reshape(-1, 3)
@@ -105,7 +110,7 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
         for b in batches:
             n = b.column(2).to_numpy()
             at = offsets[b.column(3).to_numpy()] + b.column(4).to_numpy()
-            r = plan[np.searchsorted(plan[:, 0], at, "right") - 1] if len(plan) else np.zeros((len(at), 6), np.int64)
+            r = plan[np.searchsorted(plan[:, 0], at, "right") - 1] if len(plan) else np.zeros((len(at), 7), np.int64)
             inside = at - r[:, 0]
             nth = inside % np.maximum(r[:, 1], 1)
             c = r[:, 2] + inside // np.maximum(r[:, 1], 1)
@@ -114,10 +119,10 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
             turn, spot = rank // groups, rank % groups
             group = np.where(turn % 2 == 0, spot, groups - 1 - spot)
             tiers = np.minimum(TIERS - 1, np.floor(np.log2(np.maximum(1, capacity // np.maximum(n, 1)))).astype(np.int64))
-            columns = [b.column(0), b.column(1), b.column(2), pa.array(tiers, pa.int32()), pa.array(c), pa.array(r[:, 4] + nth, pa.int32()), pa.array(r[:, 3] + nth * n, pa.int32()), pa.array(group)]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "piece", "n_tokens", "tier", "container", "position", "starts_at", "step_group"])
+            columns = [b.column(0), b.column(1), b.column(2), pa.array(tiers, pa.int32()), pa.array(c), pa.array(r[:, 6], pa.int32()), pa.array(r[:, 4] + nth, pa.int32()), pa.array(r[:, 3] + nth * n, pa.int32()), pa.array(group)]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "piece", "n_tokens", "tier", "container", "container_tier", "position", "starts_at", "step_group"])
 
-    out = df.select("k", "piece", "n", "part", "row").mapInArrow(place, f"k {kind}, piece int, n_tokens int, tier int, container long, position int, starts_at int, step_group long")
+    out = df.select("k", "piece", "n", "part", "row").mapInArrow(place, f"k {kind}, piece int, n_tokens int, tier int, container long, container_tier int, position int, starts_at int, step_group long")
     return out.withColumnRenamed("k", key)
 
 
@@ -136,9 +141,26 @@ def p8_containers(spark, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def p8_fill(spark, sf_dir: str) -> DataFrame:
-    """Containers, tokens and share of room used, by container kind, and how even the step groups are."""
-    packed = p8_containers(spark, sf_dir)
+    """By container kind and tier: containers, tokens, share of room used, tokens that came from shorter tiers, and how even the step groups are."""
+    packed = cut(p8_containers(spark, sf_dir))
     cost = F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens"))
     groups = packed.groupBy("container_name", "step_group").agg(cost.alias("cost")).groupBy("container_name").agg(F.min("cost").alias("least_cost"), F.max("cost").alias("most_cost"))
-    fill = packed.groupBy("container_name", "capacity_tokens").agg(F.count_distinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    filled = F.sum(F.when(F.col("tier") > F.col("container_tier"), F.col("n_tokens")).otherwise(0))
+    fill = packed.groupBy("container_name", "capacity_tokens", "container_tier").agg(F.count_distinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"), filled.alias("from_shorter_tiers"))
     return fill.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)).join(groups, "container_name")
+
+
+def p8_limits(spark, sf_dir: str) -> DataFrame:
+    """What must hold of every packing: (container_name, overfull, split, lost) = containers over capacity, items split that fit whole, items whose pieces do not add up to them."""
+    sizes = cut(token_counts(table(spark, sf_dir, "documents")))
+    specs = table(spark, sf_dir, "container_specs")
+    packed = cut(packed_specs(sizes, specs))
+    full = packed.groupBy("container_name", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("t")).groupBy("container_name").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
+    items = packed.groupBy("container_name", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("pieces"))
+    all_ = sizes.where("n_tokens > 0").crossJoin(F.broadcast(specs.select("container_name")))
+    held = all_.join(items, ["container_name", "doc_id"], "full")
+    counts = held.groupBy("container_name").agg(F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens"))).alias("split"), F.count_if(~F.col("t").eqNullSafe(F.col("n_tokens"))).alias("lost"))
+    return counts.join(full, "container_name")
+
+
+SQL = {"p8_limits": "SELECT container_name, 0::BIGINT AS overfull, 0::BIGINT AS split, 0::BIGINT AS lost FROM container_specs"}

@@ -17,9 +17,12 @@ QUERIES = {
     "p7_reliability": crossmatch.p7_reliability,
     "p8_containers": packing.p8_containers,
     "p8_fill": packing.p8_fill,
+    "p8_limits": packing.p8_limits,
     "p9_mix": mixing.p9_mix,
     "p9_shares": mixing.p9_shares,
+    "p9_accuracy": mixing.p9_accuracy,
+    "p9_limits": mixing.p9_limits,
     "p10_found": residue.p10_found,
     "p10_units": residue.p10_units,
 }
-SQL = {"p3_found": components.P3_FOUND_SQL, "p4_found": topn.P4_FOUND_SQL}
+SQL = {"p3_found": components.P3_FOUND_SQL, "p4_found": topn.P4_FOUND_SQL} | packing.SQL | mixing.SQL

@@ -214,7 +214,8 @@ def test_patterns_use_every_item():
     for capacity in (10, 64, 512):
         lengths = {rng.randrange(1, capacity + 1): rng.randrange(1, 50) for _ in range(30)}
         used = {}
-        for times, use in packing.patterns(lengths, capacity):
+        for t, times, use in packing.patterns(lengths, capacity):
+            assert all(packing.tier(n, capacity) >= t for n, _ in use)
             assert times >= 1 and sum(n * k for n, k in use) <= capacity
             for n, k in use:
                 used[n] = used.get(n, 0) + n * 0 + k * times
