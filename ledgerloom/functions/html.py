@@ -7,10 +7,11 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import normalize_url
+from .text import url_key
 
 MOST_WORDS = 100_000
 
@@ -47,16 +48,16 @@ def page_words(html: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def page_links(url: pd.Series, html: pd.Series) -> pd.Series:
-    """Usable addresses that a page links to, made absolute, each once in order."""
+def _targets(url: pd.Series, html: pd.Series) -> pd.Series:
+    return pd.Series([[urljoin(u or "", x) for x in page(h).links] for u, h in zip(url, html, strict=True)])
 
-    def links(u: str | None, h: str | None) -> list[str]:
-        found = (normalize_url(urljoin(u or "", x.split("#")[0])) for x in page(h).links)
-        return list(dict.fromkeys(x for x in found if x))
 
-    return pd.Series([links(u, h) for u, h in zip(url, html, strict=True)])
+def page_links(url: Column | str, html: Column | str) -> Column:
+    """Usable addresses that a page links to, made absolute, each once in order."""
+    return F.array_distinct(F.array_compact(F.transform(_targets(url, html), url_key)))
 
 
+# Fixed value: how places are labelled on the saved pages.
 PLACE = re.compile(r"City(\w+?)State(\w{2})Zip([\d-]+)Country(\w+)")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import address_key, jaro_winkler_similarity, link_key, name_profile, sequence_ratio, zip5, zip_score
-from ..session import cut, table
+from ..session import bounded, cut, table
 from .relational import first_per_group
 
 #: Scores that a conflict of regions, a one-sided region, or a conflict of locations leaves at most.
@@ -84,15 +84,58 @@ def exact_candidates(observations: DataFrame, least_tokens: int = 2) -> DataFram
     return compared(key(left, "l").join(key(right, "r"), "k")).select("l_id", "r_id", "score", "relationship", "location", "tier")
 
 
+#: A word that more names than this share joins names only together with a second word of theirs.
+RARE_WORD = 1000
+
+
+def shared_words(left: DataFrame, right: DataFrame, words: str = "words") -> DataFrame:
+    """(l_id, r_id): pairs of two tables (id, ``words``: distinct words) that share a word.
+
+    Names are reduced to their distinct word lists first, and words to those that both sides have. Words of many names are salted on the
+    left and repeated on the right, so that no task gets all of one word.
+    """
+    a, b = (df.select(i, F.explode(words).alias("w")) for df, i in ((left, "l_id"), (right, "r_id")))
+    sizes = a.groupBy("w").agg(F.count("*").alias("na")).join(b.groupBy("w").agg(F.count("*").alias("nb")), "w")
+    salts = bounded(sizes.select("w", F.greatest(F.lit(1), F.ceil(F.col("na") / RARE_WORD)).cast("int").alias("salts")))
+    a = a.join(salts, "w").withColumn("salt", F.pmod(F.xxhash64("l_id"), F.col("salts")).cast("int")).drop("salts")
+    b = b.join(salts, "w").select("r_id", "w", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return a.join(b, ["w", "salt"]).select("l_id", "r_id").distinct()
+
+
+def _scored_pairs(left: DataFrame, right: DataFrame, words, distinct_names: str) -> DataFrame:
+    """Comparison of the profiles of ``left`` and ``right`` that share a word: names are compared once however many records bear them."""
+    name = lambda df, s: df.select(F.xxhash64(F.to_json(f"{s}p")).alias(f"{s}_id"), f"{s}p").dropDuplicates([f"{s}_id"])
+    a, b = cut(name(left, "l")), cut(name(right, "r"))
+    words_of = lambda df, s: df.select(f"{s}_id", F.array_distinct(words(F.col(f"{s}p"))).alias("words"))
+    pairs = shared_words(words_of(a, "l"), words_of(b, "r")).join(a, "l_id").join(b, "r_id").where(distinct_names)
+    pairs = pairs.select(F.col("l_id").alias("l_name"), F.col("r_id").alias("r_name"))
+    l = left.withColumn("l_name", F.xxhash64(F.to_json("lp")))  # noqa: E741
+    r = right.withColumn("r_name", F.xxhash64(F.to_json("rp")))
+    return compared(cut(pairs).join(l, "l_name").join(r, "r_name"))
+
+
 def token_candidates(observations: DataFrame, least_score: float = 0.92, least_letters: int = 5, top: int = 25) -> DataFrame:
     """Candidates that share a long word but not the whole name: the best ``top`` of each filer record, ties by the outside record."""
     left, right = _sides(observations)
-    words = lambda df, s: df.select(f"{s}_id", F.explode(F.array_distinct(F.filter(F.split(F.col(f"{s}p")["normalized"], " "), lambda w: F.length(w) >= least_letters))).alias("w"))
-    pairs = words(left, "l").join(words(right, "r"), "w").select("l_id", "r_id").distinct()
-    df = compared(pairs.join(left, "l_id").join(right, "r_id").where(F.col("lp")["normalized"] != F.col("rp")["normalized"])).where(F.col("score") >= least_score)
+    long = lambda p: F.filter(F.split(p["normalized"], " "), lambda w: F.length(w) >= least_letters)
+    df = _scored_pairs(left, right, long, "lp.normalized <> rp.normalized").where(F.col("score") >= least_score)
+    return first_per_group(df, ["l_id"], [F.desc("score"), F.asc("r_id")], top).select("l_id", "r_id", "score", "relationship", "location", "tier")
+
+
+def relationship_candidates(observations: DataFrame, least_score: float = 0.78, top: int = 25) -> DataFrame:
+    """Candidates that share a core word and look like affiliates, parents or aliases rather than just alike."""
+    left, right = _sides(observations)
+    core = lambda p: F.when(F.size(p["core"]) > 0, p["core"]).otherwise(p["tokens"])
+    df = _scored_pairs(left, right, core, "lp.normalized <> rp.normalized").where((F.col("score") >= least_score) & (F.col("relationship") != "similar_name"))
     return first_per_group(df, ["l_id"], [F.desc("score"), F.asc("r_id")], top).select("l_id", "r_id", "score", "relationship", "location", "tier")
 
 
+def ordered_candidates(found: DataFrame, matcher: str) -> DataFrame:
+    """(left_observation_id, right_observation_id, matcher_name, score), the smaller id on the left, each pair once with its best score."""
+    pairs = found.select(F.least("l_id", "r_id").alias("left_observation_id"), F.greatest("l_id", "r_id").alias("right_observation_id"), F.lit(matcher).alias("matcher_name"), "score")
+    return pairs.groupBy("left_observation_id", "right_observation_id", "matcher_name").agg(F.max("score").alias("score"))
+
+
 def prefix_candidates(filers: DataFrame, clients: DataFrame, least: float = 0.85, prefix: int = 8, length_ratio: float = 0.6) -> DataFrame:
     """(ein, client_key, similarity, state_agrees, zip_score): near names with the same first letters and like lengths, by Jaro-Winkler.
 
@@ -108,8 +151,8 @@ def prefix_candidates(filers: DataFrame, clients: DataFrame, least: float = 0.85
 
 
 def best_links(candidates: DataFrame, key: str = "client_key") -> DataFrame:
-    """One candidate per key: the best ZIP score, then similarity, then EIN."""
-    return first_per_group(candidates, [key], [F.desc("zip_score"), F.desc("similarity"), F.asc("ein")])
+    """One candidate per key: the best ZIP score, then similarity, then EIN, then the same state."""
+    return first_per_group(candidates, [key], [F.desc("zip_score"), F.desc("similarity"), F.asc("ein"), F.desc("state_agrees")])
 
 
 def _filers_and_clients(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -126,6 +169,10 @@ def fuzzy_name_candidates(spark, sf_dir: str) -> DataFrame:
     return token_candidates(table(spark, sf_dir, "entity_observations"))
 
 
+def affiliate_candidates(spark, sf_dir: str) -> DataFrame:
+    return ordered_candidates(relationship_candidates(table(spark, sf_dir, "entity_observations")), "relationship_similarity_v1")
+
+
 def near_name_links(spark, sf_dir: str) -> DataFrame:
     return prefix_candidates(*_filers_and_clients(spark, sf_dir))
 
@@ -141,7 +188,7 @@ def exact_pairs(spark, sf_dir: str) -> DataFrame:
     return left.join(o.where("source_system <> 'IRS990'").select(F.col("observation_id").alias("r_id"), "k"), "k").select("l_id", "r_id", "k")
 
 
-QUERIES = {f.__name__: f for f in (exact_name_candidates, fuzzy_name_candidates, near_name_links, best_near_links, exact_pairs)}
+QUERIES = {f.__name__: f for f in (exact_name_candidates, fuzzy_name_candidates, affiliate_candidates, near_name_links, best_near_links, exact_pairs)}
 
 _DROP = "('inc','incorporated','llc','lp','llp','corp','corporation','the','of','and','for','a','an','pac','cmte','association','committee','fund','foundation','trust','club','')"
 _KEY = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w NOT IN " + _DROP + "), ' ')"
@@ -151,6 +198,7 @@ _NEAR = f"""SELECT ein, client_key, round(jaro_winkler_similarity(a, b), 6) AS s
  JOIN (SELECT DISTINCT client_id AS client_key, {_KEY.format("client_name")} AS b, client_state AS cs, nullif(regexp_extract(client_zip_code, '([0-9]{{5}})', 1), '') AS cz FROM lda_filings WHERE client_id IS NOT NULL) c
  ON left(a, 8) = left(b, 8) AND a <> b AND least(length(a), length(b)) / greatest(length(a), length(b)) >= 0.6 WHERE a <> '' AND b <> '' AND jaro_winkler_similarity(a, b) >= 0.85"""
 SQL = {
+    "best_near_links": f"SELECT * FROM ({_NEAR}) QUALIFY row_number() OVER (PARTITION BY client_key ORDER BY zip_score DESC, similarity DESC, ein, state_agrees DESC) = 1",
     "near_name_links": _NEAR,
     "exact_pairs": f"""WITH o AS (SELECT observation_id, source_system, {_KEY.format("observed_name")} AS k FROM entity_observations)
  SELECT l.observation_id AS l_id, r.observation_id AS r_id, l.k FROM o l JOIN o r ON l.k = r.k AND l.source_system = 'IRS990' AND r.source_system <> 'IRS990' WHERE contains(l.k, ' ')""",

@@ -26,8 +26,8 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.agg(F.sum("weight").alias("weight"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, weighted: bool = False, restart: DataFrame | None = None) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; rank that ends in nodes without edges out goes back to the restart nodes (all, if none are given)."""
+def pagerank(edges: DataFrame, rounds: int = 500, damping: float = 0.85, weighted: bool = False, restart: DataFrame | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank) when ranks change by less than ``tolerance`` a node in sum, or after ``rounds``; rank that ends in nodes without edges out goes back to the restart nodes (all, if none are given)."""
     e = edges.groupBy("src", "dst").agg((F.sum("weight") if weighted else F.max(F.lit(1.0))).alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
     e = cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("part")))
@@ -37,11 +37,15 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, weighted
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     jump = cut(nodes.join(start.withColumn("jump", F.lit(1.0 / n)), "node", "left").na.fill(0.0, ["jump"]).join(out.select(F.col("src").alias("node"), F.lit(1).alias("has_out")), "node", "left"))
-    ranks = jump.select("node", F.col("jump").alias("rank"))
+    ranks, size = jump.select("node", F.col("jump").alias("rank")), nodes.count()
     for _ in range(rounds):
         lost = ranks.join(jump.where("has_out IS NULL").select("node"), "node", "left_semi").agg(F.sum("rank")).first()[0] or 0.0
         got = e.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
-        ranks = cut(jump.join(got, "node", "left").select("node", (F.col("jump") * (1 - damping + damping * lost) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        after = cut(jump.join(got, "node", "left").join(ranks.withColumnRenamed("rank", "was"), "node").select("node", (F.col("jump") * (1 - damping + damping * lost) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "was"))
+        change = after.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+        ranks = after.drop("was")
+        if change < tolerance * size:
+            break
     return ranks
 
 
@@ -186,7 +190,7 @@ def _edges(spark, sf_dir: str) -> DataFrame:
 
 
 def grant_pagerank(spark, sf_dir: str) -> DataFrame:
-    return pagerank(_edges(spark, sf_dir), 5).select("node", F.round("rank", 8).alias("rank"))
+    return pagerank(_edges(spark, sf_dir), tolerance=1e-9).select("node", F.round("rank", 6).alias("rank"))
 
 
 def grant_components(spark, sf_dir: str) -> DataFrame:
@@ -219,8 +223,8 @@ _STEP = """ r{k} AS (SELECT n.node, (1 - 0.85) / n.c + 0.85 * (SELECT coalesce(s
    + 0.85 * coalesce((SELECT sum(p.rank / o.d) FROM e JOIN r{j} p ON p.node = e.src JOIN o ON o.src = e.src WHERE e.dst = n.node), 0) AS rank FROM nodes n)"""
 SQL = {
     "grant_pagerank": f"WITH e AS ({_E}), o AS (SELECT src, count(*) AS d FROM e GROUP BY 1), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), nodes AS (SELECT node, (SELECT count(*) FROM v) AS c FROM v), r0 AS (SELECT node, 1.0 / c AS rank FROM nodes),"
-    + ",".join(_STEP.format(k=k, j=k - 1) for k in range(1, 6))
-    + " SELECT node, round(rank, 8) AS rank FROM r5",
+    + ",".join(_STEP.format(k=k, j=k - 1) for k in range(1, 16))
+    + " SELECT node, round(rank, 6) AS rank FROM r15",
     "grant_components": f"WITH RECURSIVE e AS ({_E}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(s, v) AS (SELECT src, src FROM b UNION SELECT r.s, b.dst FROM r JOIN b ON b.src = r.v) SELECT v AS node, min(s) AS component FROM r GROUP BY 1",
     "top_edges": f"SELECT * FROM ({_E}) ORDER BY weight DESC, src, dst LIMIT 250",
 }

@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut, table
+from .relational import running
 from .similarity import terms
 
+#: Rows are dealt to folds within so many ranges of hashes of each class, so no class is one task.
+FOLD_RANGES = 64
 NUMBERS = ["total_revenue", "total_expenses", "total_assets", "total_volunteers", "total_salaries"]
 
 
@@ -35,8 +38,11 @@ def temporal_split(df: DataFrame, group: str, year: str, first_test_year: int) -
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold`` 0..k-1; in each class the folds have nearly the same size (by hash)."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(key, label, F.lit(seed)), F.lit(k)).cast("int"))
+    """``df`` with ``fold`` 0..k-1; in each class the folds differ by one row at most in each range of hashes, so by few in all."""
+    dealt = df.withColumn("__h", F.xxhash64(key, F.lit(seed)))
+    dealt = dealt.withColumn("__range", F.pmod(F.shiftright("__h", 32), F.lit(FOLD_RANGES)))
+    place = F.row_number().over(Window.partitionBy(label, "__range").orderBy("__h", key))
+    return dealt.withColumn("fold", F.pmod(place + F.col("__range"), F.lit(k)).cast("int")).drop("__h", "__range")
 
 
 def with_gaps_filled(train: DataFrame, test: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -82,8 +88,7 @@ def measures(scored: DataFrame, label: str, score: str = "score", cut_at: float
     """
     s = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).alias("s"), F.col(label).cast("double").alias("y"))
     by = cut(s.groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")))
-    down = Window.orderBy(F.desc("s"))
-    cum = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+    cum = running(by, "s", {"p": "tp", "n": "fp"}, descending=True)
     all_ = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     c = cum.crossJoin(all_)
     auc = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / F.max(F.col("all_p") * F.col("all_n"))

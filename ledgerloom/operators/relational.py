@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each group in ``order``; Spark keeps only n per task before the shuffle."""
@@ -22,16 +24,42 @@ def most_frequent(df: DataFrame, group: list[str], value: str, out: str) -> Data
     return counts.groupBy(*group).agg(F.min(F.struct((-F.col("n")).alias("n"), value))[value].alias(out))
 
 
+def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """``df`` (one row per value of ``order``) with running sums (column -> name) in that order, and nothing in one task.
+
+    Ranges of values are cumulated each for itself; the sums of the ranges before are added. These are one row per task.
+    """
+    by = F.desc(order) if descending else F.asc(order)
+    parts = cut(df.repartitionByRange(by).withColumn("__part", F.spark_partition_id()))
+    whole = parts.groupBy("__part").agg(*[F.sum(c).alias(f"__{c}") for c in sums]).collect()
+    before, total = {}, dict.fromkeys(sums, 0)
+    for r in sorted(whole, key=lambda r: r["__part"]):
+        before[r["__part"]] = dict(total)
+        total = {c: total[c] + (r[f"__{c}"] or 0) for c in sums}
+    within = Window.partitionBy("__part").orderBy(by)
+    for c, name in sums.items():
+        offset = F.element_at(F.create_map(*[F.lit(x) for p, t in before.items() for x in (p, t[c])]), F.col("__part")) if before else F.lit(0)
+        parts = parts.withColumn(name, F.sum(c).over(within) + offset)
+    return parts.drop("__part")
+
+
 def rank_share(value: str, out: str, df: DataFrame) -> DataFrame:
     """Average rank of equal values over the number of rows, computed from counts per value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(value)
-    upto = F.sum("__n").over(before)
-    total = F.sum("__n").over(Window.partitionBy())
-    ranks = counts.select(value, ((upto - F.col("__n") + 1 + upto) / 2 / total).alias(out))
+    total = df.where(F.col(value).isNotNull()).count()
+    upto = running(counts, value, {"__n": "__upto"})
+    ranks = upto.select(value, ((F.col("__upto") - F.col("__n") + 1 + F.col("__upto")) / 2 / F.lit(max(1, total))).alias(out))
     return df.join(ranks, value, "left")
 
 
+def placed_in_order(df: DataFrame, key: str, value: str, out: str = "place") -> DataFrame:
+    """``df`` with the place 1..n of each row by ``value`` from the top, ties by ``key`` (unique); NULL values come last."""
+    order = F.struct(F.col(value).isNotNull().alias("has"), F.col(value).alias("v"), F.struct(F.col(key)).alias("k"))
+    ranked = running(df.select(key, order.alias("__o"), F.lit(1).alias("__one")), "__o", {"__one": "__from_below"})
+    n = df.count()
+    return df.join(ranked.select(key, (n + 1 - F.col("__from_below")).alias(out)), key)
+
+
 def with_total(df: DataFrame, keys: list[str], aggs: list[Column], label: str = "TOTAL") -> DataFrame:
     """One row per key and a row over all, with ``label`` in the keys; distinct counts are counted anew for it."""
     detail = df.groupBy(*[F.col(k).cast("string").alias(k) for k in keys]).agg(*aggs)

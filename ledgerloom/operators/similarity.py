@@ -21,7 +21,11 @@ def terms(text: Column) -> Column:
 def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): term frequency times ln((1 + n) / (1 + df)) + 1, scaled to unit length per text."""
     tf = cut(df.select(F.col(key).alias("k"), F.explode(terms(F.col(text))).alias("term")).groupBy("k", "term").agg(F.count("*").alias("tf")))
-    n = df.select(key).distinct().count()
+    return weighted(tf, df.select(key).distinct().count(), key)
+
+
+def weighted(tf: DataFrame, n: int, key: str) -> DataFrame:
+    """(key, term, weight) of counted terms (k, term, tf) of ``n`` texts."""
     idf = tf.groupBy("term").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
     w = tf.join(idf, "term").select("k", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy("k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -41,13 +45,24 @@ def dot(a: Column, b: Column) -> Column:
 def title_topics(spark, sf_dir: str) -> DataFrame:
     """How near each bill's title is to each policy area's titles taken together, by term weights."""
     b = table(spark, sf_dir, "bills").where("title IS NOT NULL")
-    areas = b.where("policy_area IS NOT NULL").groupBy("policy_area").agg(F.array_join(F.array_sort(F.collect_list("title")), " ").alias("titles"))
-    both = term_weights(b.select("bill_id", F.col("title").alias("t")).select(F.concat(F.lit("b:"), "bill_id").alias("key"), "t").unionByName(areas.select(F.concat(F.lit("a:"), "policy_area").alias("key"), F.col("titles").alias("t"))), "key", "t")
-    both = cut(both)
+    found = cut(b.select("bill_id", "policy_area", F.explode(terms(F.col("title"))).alias("term")).groupBy("bill_id", "policy_area", "term").agg(F.count("*").alias("tf")))
+    # an area's terms are counted from those of its bills, so its titles never come together in one row
+    areas = found.where("policy_area IS NOT NULL").groupBy(F.concat(F.lit("a:"), "policy_area").alias("k"), "term").agg(F.sum("tf").alias("tf"))
+    n = b.select("bill_id").distinct().count() + b.where("policy_area IS NOT NULL").select("policy_area").distinct().count()
+    both = cut(weighted(cut(found.select(F.concat(F.lit("b:"), "bill_id").alias("k"), "term", "tf").unionByName(areas)), n, "key"))
     left = both.where("key LIKE 'b:%'").select(F.expr("substring(key, 3)").alias("bill_id"), "term", "weight")
     right = both.where("key LIKE 'a:%'").select(F.expr("substring(key, 3)").alias("policy_area"), "term", "weight")
     return cosine_pairs(left, right, "bill_id", "policy_area").select("bill_id", "policy_area", F.round("cosine", 6).alias("cosine"))
 
 
 QUERIES = {"title_topics": title_topics}
-SQL: dict[str, str] = {}
+_STOP = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+SQL = {
+    "title_topics": f"""WITH w AS (SELECT bill_id, policy_area, list_filter(regexp_extract_all(lower(title), '\\b\\w\\w+\\b'), lambda t: t NOT IN {_STOP}) AS w FROM bills WHERE title IS NOT NULL),
+ t AS (SELECT bill_id, policy_area, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+ tf AS (SELECT 'b:' || bill_id AS k, term, count(*) AS tf FROM t GROUP BY ALL UNION ALL SELECT 'a:' || policy_area, term, count(*) FROM t WHERE policy_area IS NOT NULL GROUP BY ALL),
+ n AS (SELECT count(DISTINCT bill_id) + count(DISTINCT policy_area) AS n FROM bills WHERE title IS NOT NULL),
+ idf AS (SELECT term, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
+ x AS (SELECT k, term, tf * idf AS w FROM tf JOIN idf USING (term)), m AS (SELECT k, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1), v AS (SELECT k, term, w / norm AS w FROM x JOIN m USING (k))
+ SELECT substring(a.k, 3) AS bill_id, substring(b.k, 3) AS policy_area, round(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b USING (term) WHERE a.k LIKE 'b:%' AND b.k LIKE 'a:%' GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.1"""
+}

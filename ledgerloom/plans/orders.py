@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.relational import first_per_group, most_frequent
+from ..operators.relational import running, first_per_group, most_frequent
 from ..operators.similarity import dot
 from ..session import table
 
@@ -52,8 +52,8 @@ def priority_pivot(spark, sf_dir: str) -> DataFrame:
 def price_ecdf(spark, sf_dir: str) -> DataFrame:
     """The share of parts that cost at most as much, for each price."""
     counts = table(spark, sf_dir, "part").groupBy(F.col("p_retailprice").alias("price")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("price"))
-    return counts.select("price", F.round(upto / F.sum("n").over(Window.partitionBy()), 8).alias("share"))
+    total = table(spark, sf_dir, "part").where("p_retailprice IS NOT NULL").count()
+    return running(counts, "price", {"n": "upto"}).select("price", F.round(F.col("upto") / F.lit(max(1, total)), 8).alias("share"))
 
 
 def nearest_embeddings(spark, sf_dir: str, top: int = 5, every: int = 50) -> DataFrame:
