@@ -22,7 +22,7 @@ from ..session import cut, table
 
 #: Hashed features; the model is four vectors of this length at any size of the data.
 BUCKETS = 1 << 16
-ROUNDS = 6
+ROUNDS = 10
 #: What every feature is seen besides. Unlabelled lines start as no residue; of unlabelled spans, which are few and often
 #: slots, these shares are taken for such at first (of bare words, of others).
 SMOOTH, BARE_SLOTS, SLOTS = 0.1, 0.5, 0.02

@@ -172,12 +172,13 @@ def corpus(spark, extra):
     rng = random.Random(8)
     prose = ["The committee heard testimony on river cleanups from ferry crews.", "Volunteers gave many hours to the audit committee.", "Line 8 [as amended] and item {8} remain in force.", "Grants under $700 are listed in total.", "The draft left the word \"household\" undefined, and staff asked for a fix."]
     labels = ["first name", "county", "grant amount", "board chair", "fiscal year"]
-    forms = ["{{%s}}", "${%s}", "<%% %s %%>", "[INSERT %s]", "@@%s@@"]
+    forms = ["{{%s}}", "${%s}", "<%% %s %%>", "[INSERT %s]", "@@%s@@", "{%s}"]  # the last form is not trusted
     errors = ["Page not found", "Access denied", "Bad gateway", "The request took too long", "Rate limit reached, slow down"]
     frames = ['{"status": 404, "error": "%s"}', "Error 500 - %s", "Sorry! %s (code 403)\nHome | About | Donate", "HTTP 502: %s"]
+    frames = [f"{f}{tail}" for f in frames for tail in (" please refresh or come back later", " try searching instead or contact the webmaster", "")]
     rows = [" ".join(rng.choice(prose) for _ in range(6)) for _ in range(600)]
-    rows += [rng.choice(prose) + " The office in " + rng.choice(forms) % rng.choice(labels).replace(" ", "_") + " is open." for _ in range(120)]
-    rows += [rng.choice(frames) % rng.choice(errors) for _ in range(120)]
+    rows += [rng.choice(prose) + " The office in " + rng.choice(forms) % rng.choice(labels).replace(" ", "_") + " is open." for _ in range(400)]
+    rows += [rng.choice(frames) % rng.choice(errors) for _ in range(500)]
     rows += ["lorem ipsum " + " ".join(rng.choice(["dolor", "amet", "sit", "velunta"]) for _ in range(12)) for _ in range(30)]
     data = [*extra, *((1000 + k, t) for k, t in enumerate(rows))]
     return spark.createDataFrame(data, "doc_id long, text string").withColumn("kind", F.lit(0)).withColumn("odds", F.lit(1)), prose
@@ -186,7 +187,7 @@ def corpus(spark, extra):
 def test_residue_and_its_mentions(spark):
     prose = "The committee heard testimony on river cleanups from ferry crews. Volunteers gave many hours to the audit committee."
     # forms and wordings that are nowhere trusted: learned from what they share with the trusted ones
-    bad = {1: "Dear {{first_name}}, thank you.", 2: "Access denied\nHome | About | Donate", 3: "Lorem ipsum dolor sit amet velunta.", 4: prose + " The office in {county} is open.", 5: "The request took too long", 6: "asdf asdf asdf asdf asdf", 7: "Ipsum velunta dolor amet sit amet dolor amet sit velunta dolor.", 8: "HTTP 429: rate limit reached, slow down"}
+    bad = {1: "Dear {{first_name}}, thank you.", 2: "Access denied\nHome | About | Donate", 3: "Lorem ipsum dolor sit amet velunta.", 4: prose + " The office in {county} is open.", 5: "The request took too long please refresh or come back later", 6: "asdf asdf asdf asdf asdf", 7: "Ipsum velunta dolor amet sit amet dolor amet sit velunta dolor.", 8: "HTTP 429: rate limit reached, slow down"}
     good = {20: prose, 21: prose + "\nBest viewed with JavaScript enabled.", 22: 'Staff removes tokens such as "{{first_name}}" from the file.', 23: None, 24: "", 25: "   ", 26: "Line 8 [as amended] and item {8} remain in force.", 27: prose * 3000, 28: 'The draft left the word "household" undefined, and staff asked for a fix.'}
     df, _ = corpus(spark, [*bad.items(), *good.items()])
     got = {r.doc_id for r in residue.residue(df).collect()}
