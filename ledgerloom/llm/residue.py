@@ -46,11 +46,13 @@ SHORT = 300
 
 MARKUP = re.compile(r"</?(?:p|div|h\d|span|br|b|i|em|strong|a|li|ul|td|tr|table|body|html|main|section)(?: [^<>]*)?/?>", re.I)
 BREAK = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\Wa-z_]|[\[({<$%#*@\"'_])")
+DIGITS = re.compile(r"\d+")
 WORD = re.compile(r"[^\W\d_]+|\d+")
 INNER = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+")
 QUOTES = "\"“”'‘’`"
 #: Page furniture by its form: menus, copyright lines, titles.
 MENU_TAIL = re.compile(r"\s(?=\w+(?: \| \w[\w ]*)+$)")
+MENU_HINT = re.compile(r"\||[©(]|opyright|ights|IGHTS|OPYRIGHT")
 MENU = re.compile(r"^[^|]{1,60}(?: \| [^|]{1,60})+$|^\W*(?:\(c\)|©|copyright)|all rights reserved", re.I)
 
 
@@ -68,16 +70,23 @@ def is_title(line: str, words: list[str]) -> bool:
     return len(words) <= 12 and bool(line) and line[-1] not in ".!?" and not any(w[0].islower() and len(w) > 2 for w in WORD.findall(line) if w[0].isalpha())
 
 
+def lines(text: str) -> Iterator[str]:
+    """Lines and sentences with blanks as one; a menu at the end of a line is a line of its own."""
+    for whole in BREAK.split(text):
+        line = " ".join(whole.split())
+        if " | " in line:
+            yield from filter(None, map(str.strip, MENU_TAIL.split(line, maxsplit=1)))
+        elif line:
+            yield line
+
+
 def units(text: str) -> list[tuple[int, str, int, list[str]]]:
     """(trusted class or -1, kind, features to leave out when learning, features) of each unit of a text; kind = span, line, menu or title."""
     out = []
     t = MARKUP.sub("\n", text).replace(" ", " ")
     whole = len(t.strip())
     spans_trusted = fillers = errors = 0
-    for line in [x for y in BREAK.split(t) for x in MENU_TAIL.split(re.sub(r"\s+", " ", y).strip(), maxsplit=1)]:
-        line = line.strip()
-        if not line:
-            continue
+    for line in lines(t):
         rest = line
         if SPAN_HINT.search(line):
             pieces, at = [], 0
@@ -101,17 +110,17 @@ def units(text: str) -> list[tuple[int, str, int, list[str]]]:
             pieces.append(line[at:])
             rest = " ".join(pieces)
         low = rest.lower()
-        words = ["9" if w[0].isdigit() else w for w in WORD.findall(low)]
+        words = WORD.findall(DIGITS.sub("9", low))
         if not words:
             continue
         sure, seed = -1, None
-        if (m := TRUSTED_FILLER.search(rest)) or any(len(words) >= 3 * p and words[p:] == words[:-p] for p in (1, 2, 3, 4)):
+        if (m := TRUSTED_FILLER.match(rest)) or any(len(words) >= 3 * p and words[p] == words[0] and words[p:] == words[:-p] for p in (1, 2, 3, 4)):
             sure, seed = FILLER, m
             fillers += 1
         elif whole <= SHORT and (m := TRUSTED_ERROR.search(rest)):
             sure, seed = ERROR, m
             errors += 1
-        out.append([sure, "menu" if MENU.search(line) else "title" if is_title(rest.strip(), words) else "", words, WORD.findall(seed[0].lower()) if seed else []])
+        out.append([sure, "menu" if MENU_HINT.search(line) and MENU.search(line) else "title" if is_title(rest.strip(), words) else "", words, WORD.findall(seed[0].lower()) if seed else []])
     done = []
     for sure, furniture, feats, extra in out:
         if isinstance(extra, str):
