@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .operators import drift, entities, graph, learning, observations, shred, similarity
 from .plans import features, linkage, network, orders, review, scores, serving
+from .sources import discovery
 from .streaming import ingest
 
 QUERIES = {
@@ -17,6 +18,6 @@ QUERIES = {
 }
 SQL = shred.SQL | drift.SQL
 
-for module in (network, linkage, review, features, orders, scores, serving, observations, entities, graph, similarity, learning, ingest):
+for module in (network, linkage, review, features, orders, scores, serving, observations, entities, graph, similarity, learning, ingest, discovery):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

@@ -98,3 +98,5 @@ SQL = {
  (SELECT count(DISTINCT general_issue_code) FROM ({network._ACT}) a WHERE a.client_id = f.client_id) AS n_issues,
  (SELECT count(*) FROM ({network._LINKS}) k JOIN lda_filings g USING (filing_uuid) WHERE g.client_id = f.client_id) AS n_bill_links, count(DISTINCT registrant_name) AS n_registrants, max(filing_year) AS last_year FROM lda_filings f WHERE client_id IS NOT NULL GROUP BY client_id""",
 }
+SQL["bill_backfill"] = f"""SELECT bill_id, CASE WHEN EXISTS (SELECT 1 FROM ({network._LINKS}) k JOIN lda_filings f USING (filing_uuid) WHERE k.bill_type = b.bill_type AND k.bill_number = b.bill_number AND floor((f.filing_year - 1789) / 2) + 1 = b.congress) THEN 1 ELSE 0 END AS lobbied
+ FROM bills b WHERE introduced_date IS NULL OR policy_area IS NULL ORDER BY lobbied DESC, bill_id LIMIT 500"""

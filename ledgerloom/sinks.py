@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,44 @@ def latest_run(spark: SparkSession, path: str, version: str) -> str | None:
     """The run of a version generated last; ties by its name."""
     runs = spark.read.parquet(f"{path}_runs").where(F.col("version") == version)
     return runs.agg(F.max(F.struct("generated_at", "run_id"))["run_id"]).first()[0]
+
+
+def replaced(df: DataFrame, path: str) -> None:
+    """Write ``df`` beside ``path`` and put it there only when it is whole; readers see the old table or the new one, and a failed write leaves the old one."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    system = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new)
+    except Exception:
+        system.delete(at(new), True)
+        raise
+    if system.exists(at(path)):
+        system.rename(at(path), at(old))
+    system.rename(at(new), at(path))
+    system.delete(at(old), True)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV parts with headers, texts quoted where they must be."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def export_run(scores: DataFrame, filings: DataFrame, path: str) -> None:
+    """The scores of one run with the names of their filers; without scores, or without a filing for any of them, it is an error."""
+    df = scores.join(filings.select("filing_id", "filer_name"), "filing_id")
+    if scores.isEmpty() or df.isEmpty():
+        raise ValueError("no scores, or no filings of theirs")
+    replaced(df, path)
+
+
+def import_run(spark: SparkSession, path: str, columns: list[str], version: str) -> DataFrame:
+    """An exported run: it must have ``columns`` and one run_id; it counts as of ``version``."""
+    df = spark.read.parquet(path)
+    if missing := [c for c in [*columns, "run_id"] if c not in df.columns]:
+        raise ValueError(f"columns are missing: {missing}")
+    if df.select("run_id").distinct().limit(2).count() != 1:
+        raise ValueError("not exactly one run")
+    return df.withColumn("version", F.lit(version))

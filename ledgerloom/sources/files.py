@@ -15,7 +15,9 @@ def parquet_views(spark: SparkSession, base: str, names: list[str]) -> dict[str,
     for name in names:
         try:
             df = spark.read.option("mergeSchema", True).parquet(f"{base}/{name}.parquet")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         df.createOrReplaceTempView(name)
         found[name] = df

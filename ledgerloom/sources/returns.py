@@ -44,6 +44,15 @@ LOBBYING = {
     "nondeductible_lobbying_pltcl_amt": "NonDeductibleLbbyngPltclTotAmt",
     "taxable_amt": "TaxableAmt",
 }
+US_PLACE = {"address": "USAddress/AddressLine1Txt", "city": "USAddress/CityNm", "state": "USAddress/StateAbbreviationCd", "zip_code": "USAddress/ZIPCd"}
+#: Kinds of transactions with related organisations; the constant kind of related ones whose schedule names none; what stands for no controlling entity.
+TRANSACTIONS, ENTITY_TYPES, NO_ENTITY = set("ABCDEFGHIJKLMNOPQRS"), {"related_partnerships": "Taxable Partnership", "related_corporations": "Taxable Corporation or Trust"}, ("N/A", "NA")
+#: What a private foundation's return has in other places.
+FOUNDATION = {
+    "total_revenue": "AnalysisOfRevenueAndExpenses/TotalRevAndExpnssAmt|TotalRevAndExpnssAmt", "total_expenses": "AnalysisOfRevenueAndExpenses/TotalExpensesRevAndExpnssAmt|TotalExpensesRevAndExpnssAmt",
+    "total_assets": "FMVAssetsEOYAmt|Form990PFBalanceSheetsGrp/TotalAssetsEOYAmt", "total_salaries": "CompOfcrDirTrstRevAndExpnssAmt|AnalysisOfRevenueAndExpenses/CompOfcrDirTrstRevAndExpnssAmt",
+    "unrestricted_net_assets_eoy": "Form990PFBalanceSheetsGrp/TotNetAstOrFundBalancesEOYAmt|TotNetAstOrFundBalancesEOYAmt",
+}
 #: Child rows: (where they are, group elements, text fields, numbers, field that must be there).
 CHILDREN = {
     "people": (
@@ -58,6 +67,15 @@ CHILDREN = {
         {"amount": "CashGrantAmt|AmountOfCashGrant"}, None,
     ),
     "disregarded": ("IRS990ScheduleR", "IdDisregardedEntitiesGrp", {"ein": "EIN", "name": "DisregardedEntityName/BusinessNameLine1Txt", "primary_activities": "PrimaryActivitiesTxt", "address": "USAddress/AddressLine1Txt", "city": "USAddress/CityNm", "state": "USAddress/StateAbbreviationCd", "zip_code": "USAddress/ZIPCd"}, {}, None),
+    "contractors": (
+        "form", "ContractorCompensationGrp",
+        {"contractor_name": "ContractorName/PersonNm|ContractorName/BusinessName/BusinessNameLine1Txt|ContractorName/BusinessNameLine1Txt", "services_description": "ServicesDesc", **{k: f"ContractorAddress/USAddress/{v}|ContractorAddress/{v}" for k, v in (("address", "AddressLine1Txt"), ("city", "CityNm"), ("state", "StateAbbreviationCd"), ("zip_code", "ZIPCd"))}},
+        {"compensation": "CompensationAmt"}, "contractor_name",
+    ),
+    "groups_527": ("IRS990ScheduleC", "Section527PoliticalOrgGrp", {"ein": "EIN", "name": "OrganizationBusinessName/BusinessNameLine1Txt", **US_PLACE}, {"paid_internal_funds": "PaidInternalFundsAmt", "contributions_transferred": "ContributionsRcvdDlvrAmt"}, None),
+    "related_partnerships": ("IRS990ScheduleR", "IdRelatedOrgTxblPartnershipGrp", {"ein": "EIN", "name": "RelatedOrganizationName/BusinessNameLine1Txt", "primary_activities": "PrimaryActivitiesTxt", "controlling_entity": "DirectControllingEntityName/BusinessNameLine1Txt", **US_PLACE}, {}, None),
+    "related_corporations": ("IRS990ScheduleR", "IdRelatedOrgTxblCorpTrGrp", {"ein": "EIN", "name": "RelatedOrganizationName/BusinessNameLine1Txt", "entity_type": "EntityTypeTxt", "primary_activities": "PrimaryActivitiesTxt", "controlling_entity": "DirectControllingEntityName/BusinessNameLine1Txt", **US_PLACE}, {}, None),
+    "related_transactions": ("IRS990ScheduleR", "TransactionsRelatedOrgGrp", {"related_org_name": "OtherOrganizationName/BusinessNameLine1Txt", "type": "TransactionTypeTxt", "method": "MethodOfAmountDeterminationTxt"}, {"amount": "InvolvedAmt"}, "related_org_name"),
     "related_exempt": ("IRS990ScheduleR", "IdRelatedTaxExemptOrgGrp", {"ein": "EIN", "name": "DisregardedEntityName/BusinessNameLine1Txt", "entity_type": "ExemptCodeSectionTxt", "primary_activities": "PrimaryActivitiesTxt", "address": "USAddress/AddressLine1Txt", "city": "USAddress/CityNm", "state": "USAddress/StateAbbreviationCd", "zip_code": "USAddress/ZIPCd"}, {}, None),
 }
 FLAGS = {"is_indiv_trustee_or_director": "IndividualTrusteeOrDirectorInd", "is_institutional_trustee": "InstitutionalTrusteeInd", "is_officer": "OfficerInd", "is_key_employee": "KeyEmployeeInd", "is_highest_compensated_employee": "HighestCompensatedEmployeeInd"}
@@ -120,11 +138,18 @@ def parse(content: bytes) -> dict:
         number = None if section is None else next((v for k, v in section.attrib.items() if k.rpartition("}")[2] == "organization501cTypeTxt"), None)
         out["exempt_organization_type"] = f"501(c)({number})" if number else None
     out |= {k: amount(value(form, p)) for k, p in AMOUNTS.items()} | {k: value(form, p) for k, p in TEXTS.items()}
+    foundation = form is not None and local(form) == "IRS990PF"
+    if foundation:
+        out |= {k: amount(value(form, p)) for k, p in FOUNDATION.items()}
+        if value(form, "Organization501c3ExemptPFInd"):
+            out["exempt_organization_type"] = "501(c)(3)"
+        elif value(form, "Organization4947a1NotPFInd"):
+            out["exempt_organization_type"] = "4947(a)(1)"
     fees = amount(value(form, "FeesForServicesLobbyingGrp/TotalAmt"))
     schedule = child(data, "IRS990ScheduleC")
     lobbying = {k: amount(value(schedule, p)) for k, p in LOBBYING.items()} | {"fees_for_services_lobbying_amt": fees}
     out["lobbying"] = lobbying if schedule is not None or fees is not None else None
-    marked = flag(value(form, "PoliticalCampaignActyInd|PoliticalActivitiesInd")) == 1.0
+    marked = flag(value(form, "StatementsRegardingActyGrp/LegislativePoliticalActyInd" if foundation else "PoliticalCampaignActyInd|PoliticalActivitiesInd")) == 1.0
     spent = sum(lobbying[k] or 0.0 for k in ("total_lobbying_expend_amt", "total_lobbying_expenditures_amt", "fees_for_services_lobbying_amt"))
     out["political_activity_flag"] = None if form is None else int(marked or spent > 0)
     out["children"] = {}
@@ -133,6 +158,10 @@ def parse(content: bytes) -> dict:
         found = [g for t in groups.split("|") for g in (at if at is not None else ()) if local(g) == t]
         rows = [{k: value(g, p) for k, p in texts.items()} | {k: amount(value(g, p)) for k, p in numbers.items()} | ({k: flag(value(g, p)) for k, p in FLAGS.items()} if kind == "people" else {}) for g in found]
         rows = [r for r in rows if needed is None or r[needed]]
+        if kind in ENTITY_TYPES:
+            rows = [r | {"entity_type": r.get("entity_type") or ENTITY_TYPES[kind], "controlling_entity": None if r["controlling_entity"] in NO_ENTITY else r["controlling_entity"]} for r in rows]
+        if kind == "related_transactions":
+            rows = [r | {"type": r["type"].upper()} for r in rows if r["type"] and r["type"].upper() in TRANSACTIONS]
         out["children"][kind] = [{"line_no": n, **r} for n, r in enumerate(rows, 1)]
     return out
 
@@ -192,6 +221,7 @@ def children(returns: DataFrame, kind: str) -> DataFrame:
     """The child rows of one kind (see ``CHILDREN``) with source_object_id and line_no."""
     _, _, texts, numbers, _ = CHILDREN[kind]
     extra = dict.fromkeys(FLAGS, "double") if kind == "people" else {}
+    texts = dict.fromkeys([*texts, "entity_type"]) if kind in ENTITY_TYPES else texts
     row = ", ".join(["line_no: int", *[f"{c}: string" for c in texts], *[f"{c}: double" for c in [*numbers, *extra]]])
     parsed = returns.where("outcome = 'succeeded'").select("source_object_id", F.explode(F.from_json(F.get_json_object("record_json", f"$.children.{kind}"), f"array<struct<{row}>>")).alias("c"))
     return parsed.select("source_object_id", "c.*")
@@ -203,3 +233,11 @@ def lobbying(returns: DataFrame) -> DataFrame:
     schema = ", ".join(f"{c} double" for c in names)
     rows = returns.where("outcome = 'succeeded'").select("source_object_id", F.from_json(F.get_json_object("record_json", "$.lobbying"), schema).alias("l")).select("source_object_id", "l.*")
     return rows.where(F.coalesce(*names).isNotNull())
+
+
+def to_read_again(manifest: DataFrame, version: str, prefix: str | None = None, wanted: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Objects of ``manifest`` that another version read, or none with success: those under ``prefix``, of the EINs in ``wanted``, and at most ``most``, as far as these are given."""
+    stale = manifest.where(~F.col("parser_version").eqNullSafe(F.lit(version)) | ~F.col("ingest_status").eqNullSafe(F.lit("succeeded")))
+    stale = stale if prefix is None else stale.where(F.col("path").startswith(prefix))
+    stale = stale if wanted is None else stale.join(wanted.select("ein").distinct(), "ein", "left_semi")
+    return stale if most is None else stale.orderBy("source_object_id").limit(most)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import sinks
 from ledgerloom.operators import learning
-from ledgerloom.sources import files, returns
+from ledgerloom.sources import discovery, files, returns
 from ledgerloom.streaming import ingest
 
 XML = """<?xml version="1.0"?><Return xmlns="http://www.irs.gov/efile"><ReturnHeader><TaxYr>2023</TaxYr><TaxPeriodEndDt>2023-12-31</TaxPeriodEndDt>
@@ -100,3 +100,40 @@ def test_splits_keep_groups_whole(spark):
     assert train.select("g").intersect(test.select("g")).count() == 0 and train.count() + test.count() == 1000 and test.count() > 100
     train, test = learning.temporal_split(df, "g", "year", 2018)
     assert train.join(test, "g", "left_semi").count() == 0
+
+
+def test_tables_replaced_exported_and_found(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "r1"), (2, "b", "r1")], "filing_id int, v string, run_id string")
+    names = spark.createDataFrame([(1, "x"), (2, "y")], "filing_id int, filer_name string")
+    for _ in range(2):
+        sinks.export_run(df, names, f"{tmp_path}/t.parquet")
+    assert [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
+    assert sinks.import_run(spark, f"{tmp_path}/t.parquet", ["v", "filer_name"], "v2").where("version = 'v2'").count() == 2
+    for bad in (lambda: sinks.export_run(df.limit(0), names, f"{tmp_path}/u"), lambda: sinks.import_run(spark, f"{tmp_path}/t.parquet", ["zz"], "v")):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.replaced(df.selectExpr("raise_error('stop') AS x"), f"{tmp_path}/t.parquet")
+    assert spark.read.parquet(f"{tmp_path}/t.parquet").count() == 2
+    assert [(r.table_name, r.files > 0) for r in discovery.tables_in(spark, str(tmp_path)).collect()] == [("t", True)]
+    assert [r.column_name for r in discovery.columns_of(spark, str(tmp_path)).collect()] == ["filing_id", "v", "run_id", "filer_name"]
+    sinks.write_csv(df.select("filing_id", "v"), f"{tmp_path}/c")
+    ok = discovery.typed_csv(spark, f"{tmp_path}/c", "filing_id int, v string", {"known": lambda: F.col("filing_id") > 0}, ["v"])
+    assert ok.count() == 2
+    with pytest.raises(ValueError):
+        discovery.typed_csv(spark, f"{tmp_path}/c", "filing_id int, v string", {"known": lambda: F.col("filing_id") > 1})
+
+
+def test_foundations_contractors_and_related(spark):
+    xml = b"""<Return><ReturnHeader><Filer><EIN>123456789</EIN></Filer></ReturnHeader><ReturnData><IRS990PF><Organization501c3ExemptPFInd>X</Organization501c3ExemptPFInd>
+    <AnalysisOfRevenueAndExpenses><TotalRevAndExpnssAmt>50</TotalRevAndExpnssAmt></AnalysisOfRevenueAndExpenses><StatementsRegardingActyGrp><LegislativePoliticalActyInd>true</LegislativePoliticalActyInd></StatementsRegardingActyGrp>
+    <ContractorCompensationGrp><ContractorName><BusinessName><BusinessNameLine1Txt>ACME</BusinessNameLine1Txt></BusinessName></ContractorName><CompensationAmt>7</CompensationAmt></ContractorCompensationGrp><ContractorCompensationGrp><CompensationAmt>8</CompensationAmt></ContractorCompensationGrp></IRS990PF>
+    <IRS990ScheduleR><IdRelatedOrgTxblPartnershipGrp><RelatedOrganizationName><BusinessNameLine1Txt>P</BusinessNameLine1Txt></RelatedOrganizationName><DirectControllingEntityName><BusinessNameLine1Txt>N/A</BusinessNameLine1Txt></DirectControllingEntityName></IdRelatedOrgTxblPartnershipGrp>
+    <TransactionsRelatedOrgGrp><OtherOrganizationName><BusinessNameLine1Txt>Q</BusinessNameLine1Txt></OtherOrganizationName><TransactionTypeTxt>b</TransactionTypeTxt><InvolvedAmt>3</InvolvedAmt></TransactionsRelatedOrgGrp>
+    <TransactionsRelatedOrgGrp><OtherOrganizationName><BusinessNameLine1Txt>Q</BusinessNameLine1Txt></OtherOrganizationName><TransactionTypeTxt>Z</TransactionTypeTxt></TransactionsRelatedOrgGrp></IRS990ScheduleR></ReturnData></Return>"""
+    r = returns.parse(xml)
+    assert (r["exempt_organization_type"], r["total_revenue"], r["political_activity_flag"]) == ("501(c)(3)", 50.0, 1)
+    c = r["children"]
+    assert [(x["line_no"], x["contractor_name"], x["compensation"]) for x in c["contractors"]] == [(1, "ACME", 7.0)]
+    assert [(x["entity_type"], x["controlling_entity"]) for x in c["related_partnerships"]] == [("Taxable Partnership", None)]
+    assert [(x["type"], x["amount"]) for x in c["related_transactions"]] == [("B", 3.0)]
