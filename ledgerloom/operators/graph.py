@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, discard, table
 
 #: Betweenness keeps the graph in each task; it is for bounded graphs such as top-edge excerpts.
 MOST_EDGES = 200_000
@@ -38,12 +38,14 @@ def pagerank(edges: DataFrame, rounds: int = 500, damping: float = 0.85, weighte
         return nodes.withColumn("rank", F.lit(0.0))
     jump = cut(nodes.join(start.withColumn("jump", F.lit(1.0 / n)), "node", "left").na.fill(0.0, ["jump"]).join(out.select(F.col("src").alias("node"), F.lit(1).alias("has_out")), "node", "left"))
     ranks, size = jump.select("node", F.col("jump").alias("rank")), nodes.count()
+    last = ranks
     for _ in range(rounds):
         lost = ranks.join(jump.where("has_out IS NULL").select("node"), "node", "left_semi").agg(F.sum("rank")).first()[0] or 0.0
         got = e.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
         after = cut(jump.join(got, "node", "left").join(ranks.withColumnRenamed("rank", "was"), "node").select("node", (F.col("jump") * (1 - damping + damping * lost) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "was"))
         change = after.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-        ranks = after.drop("was")
+        discard(last)
+        ranks, last = after.drop("was"), after
         if change < tolerance * size:
             break
     return ranks
@@ -52,12 +54,14 @@ def pagerank(edges: DataFrame, rounds: int = 500, damping: float = 0.85, weighte
 def smallest_labels(edges: DataFrame) -> DataFrame:
     """(node, component): components by smallest labels, with pointers shortened each round."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
+    last = labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
         step = step.join(labels.select(F.col("node").alias("low"), F.col("component").alias("lower")), "low", "left")
         step = cut(step.select("node", F.least("low", F.coalesce("lower", "low")).alias("component"), F.col("component").alias("before")))
+        discard(last)
+        last = step
         if step.where("component <> before").isEmpty():
             return step.select("node", "component")
         labels = step.drop("before")
@@ -70,7 +74,9 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     labels = both.select(F.col("x").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x", "community").agg(F.sum("weight").alias("v"))
+        last = labels
         labels = cut(votes.groupBy("x").agg(F.min(F.struct((-F.col("v")).alias("v"), "community"))["community"].alias("community")).withColumnRenamed("x", "node"))
+        discard(last)
     return labels
 
 
@@ -178,6 +184,7 @@ def _joined_ranks(parts: DataFrame, nodes: DataFrame, seeds: DataFrame, damping:
         after = cut(got.unionByName(back).groupBy("seed", "node").agg(F.sum("rank").alias("rank")))
         moved = after.unionByName(ranks.withColumn("rank", -F.col("rank"))).groupBy("seed", "node").agg(F.abs(F.sum("rank")).alias("d"))
         change = moved.groupBy("seed").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0.0
+        discard(ranks)
         ranks = after
         if change < settled:
             return ranks.where("node <> seed").groupBy("node").agg(F.sum("rank").alias("p"))

@@ -64,13 +64,25 @@ def cut(df: DataFrame) -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/ledgerloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a result of ``cut`` that nothing reads any more, such as the last round's once this round's is written."""
+    if path := getattr(df, "_cut_at", None):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_cuts(spark: SparkSession) -> None:
     """Delete the tables that ``cut`` wrote in this application; results that read them end with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ledgerloom-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/ledgerloom-{spark.sparkContext.applicationId}")
 
 
 #: A table of at most so many rows may be broadcast; of narrow rows these are some MB.
