@@ -361,6 +361,11 @@ def p7_matches(spark, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "entity_observations"))
 
 
+def p7_members(spark, sf_dir: str) -> DataFrame:
+    """Membership: the organisation, as its source knows it, of each observation; ``p7_matches`` links these."""
+    return observations(table(spark, sf_dir, "entity_observations")).select(F.col("id").alias("observation_id"), "source", "entity")
+
+
 def p7_found(spark, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "entity_observations")
     return observation_pairs(df, matches(df)).select("left_observation_id", "right_observation_id").distinct()

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, discard, table
 
 # Spellings and their readings.
 ABBREVIATIONS = {
@@ -104,10 +104,13 @@ def followed(step: DataFrame, word: str, within: list[str]) -> DataFrame:
 
     A correction leads to a more frequent (or as frequent and later) spelling, so there are no circles.
     """
+    last = None
     while True:
         on = step.select(*within, F.col(word).alias("to"), F.col("to").alias("further"))
         far = cut(step.join(on, [*within, "to"], "left").select(*within, word, F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
-        step = far.drop("moved")
+        if last is not None:
+            discard(last)
+        step, last = far.drop("moved"), far
         if far.where("moved").isEmpty():
             return step
 

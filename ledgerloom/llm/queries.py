@@ -14,6 +14,7 @@ QUERIES = {
     "p5_candidates": places.p5_candidates,
     "p7_found": crossmatch.p7_found,
     "p7_matches": crossmatch.p7_matches,
+    "p7_members": crossmatch.p7_members,
     "p7_reliability": crossmatch.p7_reliability,
     "p8_containers": packing.p8_containers,
     "p8_fill": packing.p8_fill,
