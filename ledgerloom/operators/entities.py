@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import address_key, jaro_winkler_similarity, link_key, name_profile, sequence_ratio, zip5, zip_score
-from ..session import bounded, cut, table
+from ..session import cut, table
+from .likenames import like_names
 from .relational import first_per_group
 
 #: Scores that a conflict of regions, a one-sided region, or a conflict of locations leaves at most.
@@ -64,7 +65,12 @@ def compared_places(left: Column, right: Column) -> Column:
 
 def compared(df: DataFrame) -> DataFrame:
     """Pairs (lp, la, rp, ra: profiles and address keys) with score, relationship, location and evidence tier."""
-    df = compared_names(df, "lp", "rp").withColumn("l", compared_places(F.col("la"), F.col("ra")))
+    return located(compared_names(df, "lp", "rp"))
+
+
+def located(df: DataFrame) -> DataFrame:
+    """Pairs with the name_score and relationship of their names, and la, ra, with score, location and evidence tier."""
+    df = df.withColumn("l", compared_places(F.col("la"), F.col("ra")))
     near = F.col("l.location").isin("exact_address", "same_postal_address")
     score = F.when(F.col("l.location") == "conflicting_location", F.least("name_score", F.lit(PLACE_CONFLICT))).when(near, 0.8 * F.col("name_score") + 0.2 * F.col("l.location_score")).otherwise(F.col("name_score"))
     tier = F.when(F.col("l.location") == "conflicting_location", "conflicting_location").when(near, "corroborated").when(F.col("l.location").isin("same_city_state", "same_state"), "location_supported").otherwise("name_only")
@@ -84,41 +90,34 @@ def exact_candidates(observations: DataFrame, least_tokens: int = 2) -> DataFram
     return compared(key(left, "l").join(key(right, "r"), "k")).select("l_id", "r_id", "score", "relationship", "location", "tier")
 
 
-#: A word that more names than this share joins names only together with a second word of theirs.
-RARE_WORD = 1000
-
+def _scored_pairs(left: DataFrame, right: DataFrame, words, least_score: float, alike: str) -> DataFrame:
+    """Comparison of the profiles of ``left`` and ``right`` that share a word and reach ``least_score``, names of equal words apart.
 
-def shared_words(left: DataFrame, right: DataFrame, words: str = "words") -> DataFrame:
-    """(l_id, r_id): pairs of two tables (id, ``words``: distinct words) that share a word.
-
-    Names are reduced to their distinct word lists first, and words to those that both sides have. Words of many names are salted on the
-    left and repeated on the right, so that no task gets all of one word.
+    Names are compared once however many records bear them, and only those that can reach the score (``likenames``).
+    A location near by adds up to 0.2 to 0.8 of a name's score, so a name may be that much below.
     """
-    a, b = (df.select(i, F.explode(words).alias("w")) for df, i in ((left, "l_id"), (right, "r_id")))
-    sizes = a.groupBy("w").agg(F.count("*").alias("na")).join(b.groupBy("w").agg(F.count("*").alias("nb")), "w")
-    salts = bounded(sizes.select("w", F.greatest(F.lit(1), F.ceil(F.col("na") / RARE_WORD)).cast("int").alias("salts")))
-    a = a.join(salts, "w").withColumn("salt", F.pmod(F.xxhash64("l_id"), F.col("salts")).cast("int")).drop("salts")
-    b = b.join(salts, "w").select("r_id", "w", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return a.join(b, ["w", "salt"]).select("l_id", "r_id").distinct()
-
-
-def _scored_pairs(left: DataFrame, right: DataFrame, words, distinct_names: str) -> DataFrame:
-    """Comparison of the profiles of ``left`` and ``right`` that share a word: names are compared once however many records bear them."""
-    name = lambda df, s: df.select(F.xxhash64(F.to_json(f"{s}p")).alias(f"{s}_id"), f"{s}p").dropDuplicates([f"{s}_id"])
-    a, b = cut(name(left, "l")), cut(name(right, "r"))
-    words_of = lambda df, s: df.select(f"{s}_id", F.array_distinct(words(F.col(f"{s}p"))).alias("words"))
-    pairs = shared_words(words_of(a, "l"), words_of(b, "r")).join(a, "l_id").join(b, "r_id").where(distinct_names)
-    pairs = pairs.select(F.col("l_id").alias("l_name"), F.col("r_id").alias("r_name"))
-    l = left.withColumn("l_name", F.xxhash64(F.to_json("lp")))  # noqa: E741
-    r = right.withColumn("r_name", F.xxhash64(F.to_json("rp")))
-    return compared(cut(pairs).join(l, "l_name").join(r, "r_name"))
+    least = min(least_score, (least_score - 0.2) / 0.8) - 1e-6
+    l, r = (df.withColumn(f"{s}_name", F.xxhash64(F.to_json(f"{s}p"))) for df, s in ((left, "l"), (right, "r")))  # noqa: E741
+    a, b = (cut(df.select(f"{s}_name", f"{s}p").dropDuplicates([f"{s}_name"])) for df, s in ((l, "l"), (r, "r")))
+    core = lambda p: F.when(F.size(p["core"]) > 0, F.array_join(p["core"], " ")).otherwise(p["normalized"])
+    anchor = lambda p: F.array_distinct(F.when(F.size(p["core"]) > 0, p["core"]).otherwise(p["tokens"]))
+    of = lambda df, s: df.where(F.col(f"{s}p")["normalized"] != "").select(
+        F.col(f"{s}_name").alias("id"), F.array_distinct(words(F.col(f"{s}p"))).alias("words"), F.col(f"{s}p")["normalized"].alias("full"),
+        core(F.col(f"{s}p")).alias("core"), anchor(F.col(f"{s}p")).alias("anchor"), F.array_join(F.col(f"{s}p")["qualifiers"], " ").alias("kind"),
+    )
+    pairs = like_names(of(a, "l"), of(b, "r"), least, alike).select(F.col("l_id").alias("l_name"), F.col("r_id").alias("r_name"))
+    pairs = cut(pairs).join(a, "l_name").join(b, "r_name").where("lp.normalized <> rp.normalized")
+    names = cut(compared_names(pairs, "lp", "rp").where(F.col("name_score") >= least).select("l_name", "r_name", "name_score", "relationship"))
+    both = names.join(l.select("l_id", "l_name", "la"), "l_name").join(r.select("r_id", "r_name", "ra"), "r_name")
+    return located(both).where(F.col("score") >= least_score)
 
 
 def token_candidates(observations: DataFrame, least_score: float = 0.92, least_letters: int = 5, top: int = 25) -> DataFrame:
     """Candidates that share a long word but not the whole name: the best ``top`` of each filer record, ties by the outside record."""
     left, right = _sides(observations)
     long = lambda p: F.filter(F.split(p["normalized"], " "), lambda w: F.length(w) >= least_letters)
-    df = _scored_pairs(left, right, long, "lp.normalized <> rp.normalized").where(F.col("score") >= least_score)
+    # names of other regions are capped below what a near location could make up for
+    df = _scored_pairs(left, right, long, least_score, "same" if 0.8 * ONE_REGION + 0.2 < least_score else "any")
     return first_per_group(df, ["l_id"], [F.desc("score"), F.asc("r_id")], top).select("l_id", "r_id", "score", "relationship", "location", "tier")
 
 
@@ -126,7 +125,7 @@ def relationship_candidates(observations: DataFrame, least_score: float = 0.78,
     """Candidates that share a core word and look like affiliates, parents or aliases rather than just alike."""
     left, right = _sides(observations)
     core = lambda p: F.when(F.size(p["core"]) > 0, p["core"]).otherwise(p["tokens"])
-    df = _scored_pairs(left, right, core, "lp.normalized <> rp.normalized").where((F.col("score") >= least_score) & (F.col("relationship") != "similar_name"))
+    df = _scored_pairs(left, right, core, least_score, "other").where(F.col("relationship") != "similar_name")
     return first_per_group(df, ["l_id"], [F.desc("score"), F.asc("r_id")], top).select("l_id", "r_id", "score", "relationship", "location", "tier")
 
 
