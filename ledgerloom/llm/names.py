@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import shuffled
 from ..session import cut, discard, table
 
 # Spellings and their readings.
@@ -107,7 +108,7 @@ def followed(step: DataFrame, word: str, within: list[str]) -> DataFrame:
     last = None
     while True:
         on = step.select(*within, F.col(word).alias("to"), F.col("to").alias("further"))
-        far = cut(step.join(on, [*within, "to"], "left").select(*within, word, F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        far = cut(step.join(shuffled(on), [*within, "to"], "left").select(*within, word, F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
         if last is not None:
             discard(last)
         step, last = far.drop("moved"), far

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import null_safe_join
+from ..operators.joins import null_safe_join, shuffled
 from ..operators.skew import lookup
 from ..session import cut, table
 from .names import ACCENTED, PLAIN, followed, one_error, one_out
@@ -117,12 +117,17 @@ def settle(df: DataFrame, word: str, within: list[str], factor: int) -> DataFram
     number by the alphabet. Of several targets the most frequent counts, and corrections are followed to their ends.
     """
     spots = cut(df.where((F.length(word) > 3) & F.col(word).isNotNull()).groupBy(*within, word).agg(F.sum("n").alias("n")))
+    return followed(corrections(spots, word, within, factor), word, within)
+
+
+def corrections(spots: DataFrame, word: str, within: list[str], factor: int) -> DataFrame:
+    """(``within``, ``word``, to): the first step of ``settle`` from spellings and how often each stands (``n``)."""
     several = spots.groupBy(*within).agg(F.count("*").alias("words")).where("words > 1").select(*within)
-    parts = spots.join(several, within, "left_semi").select("*", F.explode(one_out(F.col(word))).alias("part"))
+    parts = spots.join(shuffled(several), within, "left_semi").select("*", F.explode(one_out(F.col(word))).alias("part"))
     other = parts.select(*within, "part", F.col(word).alias("to"), F.col("n").alias("m"))
-    better = parts.join(other, [*within, "part"]).where((F.col("m") >= factor * F.col("n")) & ((F.col("m") > F.col("n")) | (F.col("to") > F.col(word))) & (F.col("to") != F.col(word)))
+    better = parts.join(shuffled(other), [*within, "part"]).where((F.col("m") >= factor * F.col("n")) & ((F.col("m") > F.col("n")) | (F.col("to") > F.col(word))) & (F.col("to") != F.col(word)))
     better = better.where(one_error(F.col(word), F.col("to")))
-    return followed(better.groupBy(*within, word).agg(F.max(F.struct("m", "to"))["to"].alias("to")), word, within)
+    return better.groupBy(*within, word).agg(F.max(F.struct("m", "to"))["to"].alias("to"))
 
 
 def localities(df: DataFrame) -> DataFrame:
@@ -130,17 +135,17 @@ def localities(df: DataFrame) -> DataFrame:
     known = cut(df.groupBy("region", "town", "zip5").agg(F.sum("n").alias("n")))
     fixes = settle(known.where("region IS NOT NULL"), "town", ["region"], 3).withColumnRenamed("to", "by_region")
     by_zip = settle(known.where("zip5 IS NOT NULL"), "town", ["zip5"], 1).withColumnRenamed("to", "by_zip")
-    right = known.join(fixes, ["region", "town"], "left").join(by_zip, ["zip5", "town"], "left").withColumn("name", F.coalesce("by_region", "by_zip", "town"))
+    right = known.join(shuffled(fixes), ["region", "town"], "left").join(shuffled(by_zip), ["zip5", "town"], "left").withColumn("name", F.coalesce("by_region", "by_zip", "town"))
     right = cut(right.select("region", "town", "zip5", "name", "n"))
     full = right.where("name IS NOT NULL AND region IS NOT NULL")
     of_zip = full.where("zip5 IS NOT NULL").groupBy("zip5").agg(F.min(F.struct("region", "name")).alias("z"), F.max(F.struct("region", "name")).alias("y"), F.max_by("region", "n").alias("zip_region"))
     of_zip = of_zip.select("zip5", "zip_region", F.when(F.col("z") == F.col("y"), F.col("z.name")).alias("zip_name"))
     of_town = full.groupBy("name").agg(F.min("region").alias("one_region"), F.count_distinct("region").alias("k")).where("k = 1").drop("k")
-    right = right.join(of_zip, "zip5", "left").join(of_town, "name", "left")
+    right = right.join(shuffled(of_zip), "zip5", "left").join(shuffled(of_town), "name", "left")
     name = F.coalesce("name", "zip_name")
     region = F.coalesce("region", "zip_region", "one_region")
     right = right.select("region", "town", "zip5", F.when(name.isNotNull() & region.isNotNull(), F.concat_ws("|", region, name)).alias("place"))
-    return null_safe_join(df, right, ["region", "town", "zip5"])
+    return null_safe_join(df, shuffled(right), ["region", "town", "zip5"])
 
 
 def homes(placed: DataFrame) -> DataFrame:
@@ -161,12 +166,12 @@ def settled_places(open_: DataFrame, placed: DataFrame) -> DataFrame:
     with several its ambiguity stays on record.
     """
     wanted = open_.where("number <> ''").select("number", "street").distinct()
-    found = homes(placed.join(wanted, ["number", "street"], "left_semi")).groupBy("number", "street", "scope").agg(F.min("place").alias("one"), F.count("*").alias("k"))
+    found = homes(placed.join(shuffled(wanted), ["number", "street"], "left_semi")).groupBy("number", "street", "scope").agg(F.min("place").alias("one"), F.count("*").alias("k"))
     near = F.when(F.col("zip5").isNotNull(), F.concat(F.lit("z"), "zip5", F.coalesce(F.concat(F.lit("|"), "region"), F.lit(""))))
     wide = F.coalesce(F.concat(F.lit("r"), "region"), F.lit("*"))
     df = open_.withColumns({"near": near, "wide": wide})
     for side in ("near", "wide"):
-        df = df.join(found.select("number", "street", F.col("scope").alias(side), F.col("one").alias(f"{side}_one"), F.col("k").alias(f"{side}_k")), ["number", "street", side], "left")
+        df = df.join(shuffled(found.select("number", "street", F.col("scope").alias(side), F.col("one").alias(f"{side}_one"), F.col("k").alias(f"{side}_k"))), ["number", "street", side], "left")
     by = F.col("near_k").isNotNull()
     k = F.coalesce(F.col("near_k"), F.col("wide_k"), F.lit(0))
     alone = F.when(F.col("zip5").isNotNull(), F.concat_ws("|", F.coalesce("region", F.lit("")), F.concat(F.lit("="), "zip5")))
@@ -183,12 +188,12 @@ def matched(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     level = ["place", "number"]
     placed = df.where("place IS NOT NULL")
     fixes = settle(placed.where("street <> 'BOX'"), "street", level, 1)
-    placed = cut(placed.join(fixes, [*level, "street"], "left").withColumn("street", F.coalesce("to", "street")).drop("to"))
+    placed = cut(placed.join(shuffled(fixes), [*level, "street"], "left").withColumn("street", F.coalesce("to", "street")).drop("to"))
     late = settled_places(df.where("place IS NULL").drop("place"), placed)
     both = placed.withColumns({"candidates": F.lit(1).cast("long"), "scope": F.lit(None).cast("string")}).unionByName(late)
     road = [*level, "street"]
     ways = placed.groupBy(*road).agg(*[f(c).alias(f"{k}_{c}") for c in ("before", "suffix") for k, f in (("a", F.min), ("z", F.max))])
-    both = both.join(ways, road, "left")
+    both = both.join(shuffled(ways), road, "left")
     level_of = F.when((F.col("candidates") != 1), F.lit("locality"))
     for c, name in (("before", "direction"), ("suffix", "suffix")):
         several = F.col(c).isNull() & (F.col(f"a_{c}") != F.col(f"z_{c}"))
@@ -197,7 +202,7 @@ def matched(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     spot = F.when(F.col("place").isNotNull(), F.concat_ws("|", "place", "number", "street", "own_before", "own_suffix"))
     both = both.withColumns({"spot": spot, "open_level": level_of, "candidates": F.when(level_of.isin("direction", "suffix"), 2).otherwise(F.col("candidates"))})
     asked = late.where("scope IS NOT NULL").select("number", "street", "scope").distinct()
-    return both.drop(*[f"{k}_{c}" for c in ("before", "suffix") for k in ("a", "z", "own")]), homes(placed).join(asked, ["number", "street", "scope"], "left_semi")
+    return both.drop(*[f"{k}_{c}" for c in ("before", "suffix") for k in ("a", "z", "own")]), homes(placed).join(shuffled(asked), ["number", "street", "scope"], "left_semi")
 
 
 def address_records(spark, sf_dir: str) -> DataFrame:
@@ -242,13 +247,13 @@ def same_place_pairs(found: DataFrame) -> DataFrame:
     at = ["s", "number"]
     ways = rows.select(*at, "unit", "w").distinct()
     several = ways.groupBy(*at).agg(F.count("*").alias("k")).where("k > 1").select(*at)
-    ways = cut(ways.join(several, at, "left_semi"))
+    ways = cut(ways.join(shuffled(several), at, "left_semi"))
     a, b = ways.withColumnRenamed("w", "a"), ways.withColumnRenamed("w", "b")
-    same = a.join(b, [*at, "unit"]).where("a < b").withColumn("unit_b", F.col("unit"))
-    none = a.where("unit = ''").join(b.where("unit <> ''").withColumnRenamed("unit", "unit_b"), at).where("a <> b")
+    same = a.join(shuffled(b), [*at, "unit"]).where("a < b").withColumn("unit_b", F.col("unit"))
+    none = a.where("unit = ''").join(shuffled(b.where("unit <> ''").withColumnRenamed("unit", "unit_b")), at).where("a <> b")
     pairs = same.unionByName(none)
-    one = pairs.join(rows.select(*at, "unit", F.col("w").alias("a"), F.col("record_key").alias("ka")), [*at, "unit", "a"])
-    two = one.join(rows.select(*at, F.col("unit").alias("unit_b"), F.col("w").alias("b"), F.col("record_key").alias("kb")), [*at, "unit_b", "b"])
+    one = pairs.join(shuffled(rows.select(*at, "unit", F.col("w").alias("a"), F.col("record_key").alias("ka"))), [*at, "unit", "a"])
+    two = one.join(shuffled(rows.select(*at, F.col("unit").alias("unit_b"), F.col("w").alias("b"), F.col("record_key").alias("kb"))), [*at, "unit_b", "b"])
     return two.select(F.least("ka", "kb").alias("left_key"), F.greatest("ka", "kb").alias("right_key"))
 
 
