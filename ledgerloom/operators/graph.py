@@ -14,10 +14,12 @@ from ..session import cut, discard, table
 
 #: Betweenness keeps the graph in each task; it is for bounded graphs such as top-edge excerpts.
 MOST_EDGES = 200_000
-#: Edges that seed_proximity keeps in each task.
-MOST_HELD = 1_000_000
-#: Personalised ranks have settled when no seed's ranks change by more in sum (by a millionth for each node, in graphs below 100 nodes).
-SETTLED = 1e-4
+#: Edges that seed_proximity keeps in one task.
+MOST_HELD = 10_000_000
+#: Walks end when no more than this of them is left at a node, or of a seed's own.
+LEFT = 1e-9
+#: Nodes of a block whose walks are solved as one matrix, and edges times seeds of one share of a block.
+DENSE, SHARE = 1000, 20_000_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -125,69 +127,186 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
 
 
 def seed_proximity(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, most: int = MOST_HELD) -> DataFrame:
-    """(node, proximity): personalised ranks from each seed (column ``node``), run until they settle, summed without a seed's own rank for itself.
+    """(node, proximity): personalised ranks from each seed (column ``node``), summed without a seed's own rank for itself.
 
-    Ranks follow the weights of edges; a node whose edges out have no weight has none. Up to ``most``
-    edges the graph is kept in each task and the seeds are dealt to tasks; beyond, the ranks of all
-    seeds go through the rounds as one table.
+    Ranks follow the weights of edges; a node whose edges out have no weight has none, and what ends there goes back to the seed.
+
+    The ranks of seed s are those visits that a damped walk from s makes, over its length h(s). Both are linear: lengths solve h = 1 + damping P h, and
+    the sum over all seeds is what walks make of a start of 1 / h at each, so two passes over the graph serve all seeds. Only a seed's
+    own rank needs a walk of its own, and only within the circles through it: its strong component. Up to ``most`` edges the graph is kept in one
+    task, and beyond it goes through the rounds as tables.
     """
     e = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
-    nodes = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    names = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("id", F.monotonically_increasing_id()))
     out = e.groupBy("src").agg(F.sum("w").alias("total")).where("total > 0")
-    parts = cut(e.where("w > 0").join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("part")))
-    seeds = cut(seeds.select("node").distinct().join(nodes, "node", "left_semi"))
-    settled = min(nodes.count() * 1e-6, SETTLED)
-    run = _held_ranks if parts.count() <= most else _joined_ranks
-    sums = run(parts, nodes, seeds, damping, settled)
-    return nodes.join(sums, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("proximity"))
-
-
-def _held_ranks(parts: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float, settled: float) -> DataFrame:
-    """(node, p): sums of the seeds' ranks; the graph goes to every task, which ranks its seeds one by one."""
-    names = np.sort(nodes.toPandas()["node"].to_numpy())
-    links = parts.toPandas()
-    src, dst = np.searchsorted(names, links["src"].to_numpy()), np.searchsorted(names, links["dst"].to_numpy())
-    order = np.argsort(dst, kind="stable")
-    held = parts.sparkSession.sparkContext.broadcast((names, src[order], dst[order], damping * links["part"].to_numpy()[order]))
-
-    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, src, dst, part = held.value
-        ends = np.setdiff1d(np.arange(len(names)), src)
-        total = np.zeros(len(names))
-        for batch in batches:
-            for own in np.searchsorted(names, batch["node"].to_numpy()):
-                ranks = np.zeros(len(names))
-                ranks[own] = change = 1.0
-                while change >= settled:
-                    after = np.bincount(dst, ranks[src] * part, len(names))
-                    after[own] += 1 - damping + damping * ranks[ends].sum()
-                    change = np.abs(after - ranks).sum()
-                    ranks = after
-                ranks[own] = 0.0
-                total += ranks
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"node": names[some], "p": total[some]})
-
-    kind = nodes.schema["node"].dataType.simpleString()
-    dealt = seeds.repartition(max(1, seeds.sparkSession.sparkContext.defaultParallelism) * 2)
-    return dealt.mapInPandas(ranked, f"node {kind}, p double").groupBy("node").agg(F.sum("p").alias("p"))
-
-
-def _joined_ranks(parts: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float, settled: float) -> DataFrame:
-    """(node, p): sums of the seeds' ranks, by rounds over one table (seed, node, rank)."""
-    ends = cut(nodes.join(parts.select(F.col("src").alias("node")), "node", "left_anti"))
-    ranks = seeds.select(F.col("node").alias("seed"), "node", F.lit(1.0).alias("rank"))
+    parts = e.where("w > 0").join(out, "src").select("src", "dst", (damping * F.col("w") / F.col("total")).alias("part"))
+    for c in ("src", "dst"):
+        parts = parts.join(names.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id")), c)
+    parts = cut(parts.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "part"))
+    starts = cut(seeds.select("node").distinct().join(names, "node").select("id"))
+    run = _held_visits if parts.count() <= most else _joined_visits
+    found, inner = run(parts, names.select("id"), starts)
+    own = _own_visits(inner, starts.join(found, "id").select("id", "block"))
+    df = names.join(found, "id", "left").join(starts.withColumn("seed", F.lit(True)), "id", "left").join(own, "id", "left")
+    kept = F.when(F.col("seed"), F.coalesce("visits", F.lit(1.0)) / F.coalesce("h", F.lit(1.0))).otherwise(0.0)
+    return df.select("node", F.greatest(F.coalesce("t", F.when(F.col("seed"), 1.0), F.lit(0.0)) - kept, F.lit(0.0)).alias("proximity"))
+
+
+def _strong_blocks(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The strong component of each of ``n`` nodes, -1 where no circle leads through it."""
+    block = np.full(n, -1)
+    on = np.ones(len(src), bool)
+    while True:  # nodes without a way in or out lie on no circle
+        alive = (np.bincount(src[on], minlength=n) > 0) & (np.bincount(dst[on], minlength=n) > 0)
+        less = on & alive[src] & alive[dst]
+        if less.sum() == on.sum():
+            break
+        on = less
+    s, d = src[on], dst[on]
+    order = np.argsort(s, kind="stable")
+    s, d = s[order], d[order]
+    first = np.searchsorted(s, np.arange(n + 1)).tolist()
+    d = d.tolist()
+    index, low, held, stack, count = [-1] * n, [0] * n, bytearray(n), [], 0
+    for root in np.unique(s).tolist():
+        if index[root] >= 0:
+            continue
+        todo = [(root, first[root])]
+        index[root] = low[root] = count
+        count += 1
+        stack.append(root)
+        held[root] = 1
+        while todo:
+            v, at = todo.pop()
+            while at < first[v + 1]:
+                w = d[at]
+                at += 1
+                if index[w] < 0:
+                    todo += [(v, at), (w, first[w])]
+                    index[w] = low[w] = count
+                    count += 1
+                    stack.append(w)
+                    held[w] = 1
+                    break
+                if held[w]:
+                    low[v] = min(low[v], index[w])
+            else:
+                if low[v] == index[v]:
+                    while True:
+                        w = stack.pop()
+                        held[w] = 0
+                        block[w] = v
+                        if w == v:
+                            break
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
+    return block
+
+
+def _held_visits(parts: DataFrame, nodes: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, h, t, block), (src, dst, part, block) of edges within blocks); one task keeps the edges."""
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(b["src"].to_numpy(), b["dst"].to_numpy(), b["part"].to_numpy()) for b in batches]
+        if not rows:
+            return
+        src, dst, part = (np.concatenate(c) for c in zip(*rows, strict=True))
+        begun, real = src[dst < 0], dst >= 0
+        src, dst, part = src[real], dst[real], part[real]
+        ids = np.unique(np.concatenate([src, dst, begun]))
+        src, dst, begun = (np.searchsorted(ids, x).astype(np.int32) for x in (src, dst, begun))
+        n = len(ids)
+
+        def summed(start: np.ndarray, of: np.ndarray, to: np.ndarray) -> np.ndarray:
+            x = step = start
+            while step.max(initial=0.0) > LEFT:
+                step = np.bincount(to, step[of] * part, n)
+                x = x + step
+            return x
+
+        h = summed(np.ones(n), dst, src)
+        w = np.zeros(n)
+        w[begun] = 1 / h[begun]
+        t = summed(w, src, dst)
+        block = _strong_blocks(src, dst, n)
+        for at in range(0, n, 100_000):
+            now = slice(at, at + 100_000)
+            yield pd.DataFrame({"id": ids[now], "h": h[now], "t": t[now], "block": np.where(block[now] >= 0, ids[block[now]], -1)})
+
+    rows = parts.unionByName(starts.select(F.col("id").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(0.0).alias("part")))
+    found = cut(rows.coalesce(1).mapInPandas(solved, "id long, h double, t double, block long"))
+    at = found.where("block >= 0").select("id", "block")
+    inner = parts.join(at.withColumnRenamed("id", "src"), "src").join(at.withColumnsRenamed({"id": "dst", "block": "to"}), "dst").where("block = to")
+    return found, cut(inner.select("src", "dst", "part", "block"))
+
+
+def _joined_visits(parts: DataFrame, nodes: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``_held_visits``, by rounds over tables of one row a node; a block is what hangs together by edges that may lie on a circle."""
+
+    def summed(start: DataFrame, of: str, to: str) -> DataFrame:
+        x = cut(start.select("id", "x", F.col("x").alias("step")))
+        while (x.agg(F.max("step")).first()[0] or 0.0) > LEFT:
+            step = parts.join(x.where("step > 0").select(F.col("id").alias(of), "step"), of).groupBy(F.col(to).alias("id")).agg(F.sum(F.col("part") * F.col("step")).alias("more"))
+            last, x = x, cut(x.join(step, "id", "left").select("id", (F.col("x") + F.coalesce("more", F.lit(0.0))).alias("x"), F.coalesce("more", F.lit(0.0)).alias("step")))
+            discard(last)
+        return x.drop("step")
+
+    h = summed(nodes.withColumn("x", F.lit(1.0)), "dst", "src").withColumnRenamed("x", "h")
+    w = h.join(starts.withColumn("seed", F.lit(1.0)), "id", "left").select("id", F.coalesce(F.col("seed") / F.col("h"), F.lit(0.0)).alias("x"))
+    t = summed(w, "src", "dst").withColumnRenamed("x", "t")
+    inner, n = parts, parts.count()
     while True:
-        lost = ranks.join(ends, "node", "left_semi").groupBy("seed").agg(F.sum("rank").alias("lost"))
-        back = seeds.withColumnRenamed("node", "seed").join(lost, "seed", "left").select("seed", F.col("seed").alias("node"), (1 - damping + damping * F.coalesce("lost", F.lit(0.0))).alias("rank"))
-        got = ranks.withColumnRenamed("node", "src").join(parts, "src").select("seed", F.col("dst").alias("node"), (damping * F.col("rank") * F.col("part")).alias("rank"))
-        after = cut(got.unionByName(back).groupBy("seed", "node").agg(F.sum("rank").alias("rank")))
-        moved = after.unionByName(ranks.withColumn("rank", -F.col("rank"))).groupBy("seed", "node").agg(F.abs(F.sum("rank")).alias("d"))
-        change = moved.groupBy("seed").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0.0
-        discard(ranks)
-        ranks = after
-        if change < settled:
-            return ranks.where("node <> seed").groupBy("node").agg(F.sum("rank").alias("p"))
+        less = inner.join(inner.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        inner, before = cut(less), n
+        n = inner.count()
+        if n == before:
+            break
+    if n:
+        blocks = cut(smallest_labels(inner).withColumnsRenamed({"node": "id", "component": "block"}))
+    else:
+        blocks = nodes.limit(0).withColumn("block", F.col("id"))
+    inner = cut(inner.join(blocks.withColumnRenamed("id", "src"), "src").select("src", "dst", "part", "block"))
+    return cut(h.join(t, "id").join(blocks, "id", "left").na.fill(-1, ["block"])), inner
+
+
+def _own_visits(inner: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, visits): how often a damped walk from each seed is expected at the seed, 1 for those on no circle; the seeds of a block are dealt to several groups, each with the block's edges."""
+    starts = cut(starts.where("block >= 0"))
+    sizes = inner.groupBy("block").agg(F.count("*").alias("m")).join(starts.groupBy("block").agg(F.count("*").alias("k")), "block")
+    most = 4 * inner.sparkSession.sparkContext.defaultParallelism
+    shares = cut(sizes.select("block", F.least(F.ceil(F.col("m") * F.col("k") / SHARE), F.lit(most)).cast("int").alias("shares")))
+    of = F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")
+    left = starts.join(shares, "block").select("block", of.alias("share"), "id")
+    right = inner.join(shares, "block").select("block", "src", "dst", "part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+
+    def walked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": a["id"], "visits": 1.0})
+        ids = np.unique(np.concatenate([b["src"], b["dst"]]))
+        src, dst, part = np.searchsorted(ids, b["src"]), np.searchsorted(ids, b["dst"]), b["part"].to_numpy()
+        n, own = len(ids), np.searchsorted(ids, a["id"])
+        if n <= DENSE:
+            m = np.eye(n)
+            np.subtract.at(m, (src, dst), part)
+            return pd.DataFrame({"id": a["id"], "visits": np.diag(np.linalg.inv(m))[own]})
+        order = np.argsort(dst, kind="stable")
+        src, dst, part = src[order], dst[order], part[order]
+        to, first = np.unique(dst, return_index=True)
+        back = np.zeros(len(own))
+        for at in range(0, len(own), 32):
+            s = own[at : at + 32]
+            x = np.zeros((n, len(s)))
+            k = np.arange(len(s))
+            x[s, k] = 1.0
+            # what comes back to the seed ends there
+            while x.sum(0).max() > LEFT:
+                x_, x = x, np.zeros_like(x)
+                x[to] = np.add.reduceat(x_[src] * part[:, None], first)
+                back[at : at + 32] += x[s, k]
+                x[s, k] = 0.0
+        return pd.DataFrame({"id": a["id"], "visits": 1 / (1 - back)})
+
+    return cut(left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInPandas(walked, "id long, visits double"))
 
 
 def _edges(spark, sf_dir: str) -> DataFrame:
