@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -133,29 +134,85 @@ def farthest(df: DataFrame, distance: str = "distance", share: float = 0.05) ->
     return df.crossJoin(edge).withColumn("anomaly", F.col(distance) > F.col("__edge")).drop("__edge")
 
 
+#: Cells of the density grid, to each side, whose links one call looks for.
+TILE = 8
+
+
 def density_clusters(df: DataFrame, key: str, columns: list[str], eps: float = 0.8, least: int = 5) -> DataFrame:
-    """(key, cluster): density-based clusters (self counts as a neighbour), NULL for noise.
+    """(key, cluster): density-based clusters (self counts as a neighbour), NULL for noise; a cluster is named by its smallest core point.
 
-    Points meet those in the same or neighbouring cells of a grid of side ``eps`` over the first two
-    columns; clusters are components of core points, border points join the smallest core near them.
+    Equal points count as one with their number. Cells of the grid are so small that all their points are neighbours: in a cell of
+    ``least`` points all are core, and the core points of a cell are in one cluster. So only points of cells with fewer meet those
+    around them, and clusters are components of cells; cells are linked by any two core points that are neighbours.
+    Border points join the smallest cluster near them.
     """
     from .graph import smallest_labels
 
     v = cut(scaled(df, columns).select(F.col(key).alias("k"), vector_to_array("__x").alias("x")))
-    cell = lambda n: F.floor(F.col("x")[n] / eps)
-    dims = min(2, len(columns))
-    home = v.select("k", "x", *[cell(n).alias(f"c{n}") for n in range(dims)])
-    around = home
-    for n in range(dims):
-        around = around.withColumn(f"c{n}", F.explode(F.array(*[F.col(f"c{n}") + d for d in (-1, 0, 1)])))
+    size = len(columns)
+    side = eps / np.sqrt(size) * (1 - 1e-9)
+    # further columns than three would make too many cells around each: there the distance alone decides
+    dims = min(3, size)
+    reach = int(np.sqrt(size)) + 1
+    around = [o for o in product(range(-reach, reach + 1), repeat=dims) if sum(max(abs(x) - 1, 0) ** 2 for x in o) <= size]
+    spots = v.groupBy("x").agg(F.min("k").alias("k"), F.count("*").alias("n")).withColumn("c", F.transform("x", lambda a: F.floor(a / side)))
+    spots = cut(spots.withColumn("at", F.slice("c", 1, dims)))
+    cells = cut(spots.groupBy("c").agg(F.sum("n").alias("held")))
+    spots = cut(spots.join(cells, "c"))
+    thin = spots.where(F.col("held") < least).select("k", "x", F.explode(F.array(*[F.array(*[F.lit(x).cast("long") for x in o]) for o in around])).alias("o"), F.col("at").alias("home"))
+    thin = thin.select("k", "x", F.zip_with("home", "o", lambda a, b: a + b).alias("at"))
     far = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)
-    near = cut(around.join(home.select(F.col("k").alias("j"), F.col("x").alias("y"), *[f"c{n}" for n in range(dims)]), [f"c{n}" for n in range(dims)]).where(far <= eps * eps).select("k", "j"))
-    core = cut(near.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("k"))
-    links = near.join(core, "k").join(core.select(F.col("k").alias("j")), "j").select(F.col("k").alias("src"), F.col("j").alias("dst"))
+    near = cut(thin.join(spots.select(F.col("k").alias("j"), F.col("x").alias("y"), "n", "at"), "at").where(far <= eps * eps).select("k", "j", "n"))
+    met = near.groupBy("k").agg(F.sum("n").alias("met")).where(F.col("met") >= least)
+    core = cut(spots.where(F.col("held") >= least).select("k", "x", "c").unionByName(spots.join(met, "k").select("k", "x", "c")))
     if core.isEmpty():
         return v.select(F.col("k").alias(key), F.lit(None).cast(v.schema["k"].dataType).alias("cluster"))
-    found = smallest_labels(links).withColumnsRenamed({"node": "j", "component": "c"})
-    return v.select("k").join(near.join(found, "j").groupBy("k").agg(F.min("c").alias("cluster")), "k", "left").withColumnRenamed("k", key)
+    tile = lambda shift: F.transform(F.slice("c", 1, dims), lambda a: F.floor((a + F.lit(shift)) / TILE))
+    tiles = F.array_distinct(F.array(*[F.array(*[F.floor((F.get("c", F.lit(n)) + x) / TILE) for n, x in enumerate(o)]) for o in product((-reach, 0, reach), repeat=dims)]))
+
+    def linked(points: pd.DataFrame) -> pd.DataFrame:
+        x, c, own = np.stack(points["x"].to_list()), points["c"].to_list(), points["own"].to_numpy()
+        groups: dict[tuple, list[int]] = {}
+        for n, k in enumerate(c):
+            groups.setdefault(tuple(k), []).append(n)
+        rows, flat = {k: np.array(n) for k, n in groups.items()}, {}
+        for k in rows:
+            flat.setdefault(k[:dims], []).append(k)
+        links = []
+        for k, a in rows.items():
+            if not own[a[0]]:
+                continue
+            for o in around:
+                for other in flat.get(tuple(p + q for p, q in zip(k, o, strict=False)), ()):
+                    if other >= k and (other == k or _touch(x[a], x[rows[other]], eps)):
+                        links.append((",".join(map(str, k)), ",".join(map(str, other))))
+        return pd.DataFrame(links, columns=["src", "dst"])
+
+    laid = core.select("x", "c", F.explode(tiles).alias("tile"), tile(0).alias("home")).withColumn("own", F.col("tile") == F.col("home"))
+    links = cut(laid.groupBy("tile").applyInPandas(linked, "src string, dst string"))
+    core = core.withColumn("node", F.concat_ws(",", F.transform("c", lambda a: a.cast("string")))).join(smallest_labels(links), "node")
+    core = cut(core.select(F.col("k").alias("j"), "component"))
+    core = cut(core.join(core.groupBy("component").agg(F.min("j").alias("cluster")), "component").select("j", "cluster"))
+    border = near.join(core, "j").groupBy("k").agg(F.min("cluster").alias("by_near"))
+    found = spots.select("k", "x").join(core.withColumnRenamed("j", "k"), "k", "left").join(border, "k", "left").select("x", F.coalesce("cluster", "by_near").alias("cluster"))
+    return v.join(found, "x").select(F.col("k").alias(key), "cluster")
+
+
+def _touch(a: np.ndarray, b: np.ndarray, eps: float, step: int = 256) -> bool:
+    """Whether any point of ``a`` is within ``eps`` of one of ``b``; points beyond reach of the other's box go first."""
+    for _ in range(2):
+        gap = np.maximum(np.maximum(b.min(0) - a, a - b.max(0)), 0)
+        a, b = b, a[(gap * gap).sum(1) <= eps * eps * (1 + 1e-9)]
+        if not len(b):
+            return False
+    # those nearest to the other's middle first
+    a, b = (p[np.argsort(((p - q.mean(0)) ** 2).sum(1), kind="stable")] for p, q in ((a, b), (b, a)))
+    for i in range(0, len(a), step):
+        for j in range(0, len(b), step):
+            gap = a[i : i + step, None] - b[None, j : j + step]
+            if ((gap * gap).sum(2) <= eps * eps).any():
+                return True
+    return False
 
 
 def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 1) -> DataFrame:
