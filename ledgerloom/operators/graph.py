@@ -18,8 +18,8 @@ MOST_EDGES = 200_000
 MOST_HELD = 10_000_000
 #: Walks end when no more than this of them is left at a node, or of a seed's own.
 LEFT = 1e-9
-#: Nodes of a block whose walks are solved as one matrix, and edges times seeds of one share of a block.
-DENSE, SHARE = 1000, 20_000_000
+#: Nodes of a block whose walks are solved as one matrix, and edges times seeds of one share of a block and of one step of it.
+DENSE, SHARE, AT_ONCE = 1000, 20_000_000, 1 << 21
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -293,8 +293,9 @@ def _own_visits(inner: DataFrame, starts: DataFrame) -> DataFrame:
         src, dst, part = src[order], dst[order], part[order]
         to, first = np.unique(dst, return_index=True)
         back = np.zeros(len(own))
-        for at in range(0, len(own), 32):
-            s = own[at : at + 32]
+        wide = max(1, min(32, AT_ONCE // len(src)))
+        for at in range(0, len(own), wide):
+            s = own[at : at + wide]
             x = np.zeros((n, len(s)))
             k = np.arange(len(s))
             x[s, k] = 1.0
@@ -302,7 +303,7 @@ def _own_visits(inner: DataFrame, starts: DataFrame) -> DataFrame:
             while x.sum(0).max() > LEFT:
                 x_, x = x, np.zeros_like(x)
                 x[to] = np.add.reduceat(x_[src] * part[:, None], first)
-                back[at : at + 32] += x[s, k]
+                back[at : at + wide] += x[s, k]
                 x[s, k] = 0.0
         return pd.DataFrame({"id": a["id"], "visits": 1 / (1 - back)})
 
