@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import address_key, jaro_winkler_similarity, link_key, name_profile, sequence_ratio, zip5, zip_score
 from ..session import cut, table
-from .likenames import like_names
+from .likenames import contained_names, like_names
 from .relational import first_per_group
 
 #: Scores that a conflict of regions, a one-sided region, or a conflict of locations leaves at most.
@@ -27,7 +27,9 @@ def compared_names(df: DataFrame, left: str, right: str) -> DataFrame:
     p, q = F.col(left), F.col(right)
     core = lambda x: F.when(F.size(x["core"]) > 0, F.array_join(x["core"], " ")).otherwise(x["normalized"])
     anchor = lambda x: F.array_distinct(F.when(F.size(x["core"]) > 0, x["core"]).otherwise(x["tokens"]))
-    df = df.withColumn("__core", sequence_ratio(core(p), core(q))).withColumn("__full", sequence_ratio(p["normalized"], q["normalized"]))
+    # without regions the two are the same
+    full = lambda x: F.when((core(p) != p["normalized"]) | (core(q) != q["normalized"]), x["normalized"])
+    df = df.withColumn("__core", sequence_ratio(core(p), core(q))).withColumn("__full", F.coalesce(sequence_ratio(full(p), full(q)), "__core"))
     shared = F.size(F.array_intersect(anchor(p), anchor(q)))
     jaccard = F.coalesce(F.try_divide(shared, F.size(F.array_union(anchor(p), anchor(q)))), F.lit(0.0))
     contained = F.coalesce(F.try_divide(shared, F.least(F.size(anchor(p)), F.size(anchor(q)))), F.lit(0.0))
@@ -90,43 +92,51 @@ def exact_candidates(observations: DataFrame, least_tokens: int = 2) -> DataFram
     return compared(key(left, "l").join(key(right, "r"), "k")).select("l_id", "r_id", "score", "relationship", "location", "tier")
 
 
-def _scored_pairs(left: DataFrame, right: DataFrame, words, least_score: float, alike: str) -> DataFrame:
-    """Comparison of the profiles of ``left`` and ``right`` that share a word and reach ``least_score``, names of equal words apart.
+def _best_pairs(observations: DataFrame, words, least_score: float, alike: str, top: int) -> DataFrame:
+    """Comparison of filers and outside records that share a word and reach ``least_score``, names of equal words apart: the best ``top`` of each filer record, ties by the outside one.
 
-    Names are compared once however many records bear them, and only those that can reach the score (``likenames``).
+    ``alike`` is that of ``like_names``; "other" also takes aliases, and leaves out names that are just alike.
+    Names are profiled and compared once however many records bear them, and only those that can reach the score (``likenames``); locations once for all records of one name and address.
     A location near by adds up to 0.2 to 0.8 of a name's score, so a name may be that much below.
     """
     least = min(least_score, (least_score - 0.2) / 0.8) - 1e-6
-    l, r = (df.withColumn(f"{s}_name", F.xxhash64(F.to_json(f"{s}p"))) for df, s in ((left, "l"), (right, "r")))  # noqa: E741
-    a, b = (cut(df.select(f"{s}_name", f"{s}p").dropDuplicates([f"{s}_name"])) for df, s in ((l, "l"), (r, "r")))
+    place = address_key(F.col("address"), F.col("city"), F.col("state"), F.col("zip_code"))
+    o = cut(observations.select("observation_id", "source_system", "observed_name", F.xxhash64("observed_name").alias("name"), place.alias("a")))
+    side = lambda s, c: o.where(c).select(F.col("observation_id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"), F.xxhash64("name", "a").alias(f"{s}_at"), F.col("a").alias(f"{s}a"))
+    named = lambda s, c: cut(o.where(c & F.col("observed_name").isNotNull()).select("name", "observed_name").distinct().select(F.col("name").alias(f"{s}_name"), name_profile(F.col("observed_name")).alias(f"{s}p")))
+    l, r = side("l", F.col("source_system") == "IRS990"), side("r", F.col("source_system") != "IRS990")  # noqa: E741
+    a, b = named("l", F.col("source_system") == "IRS990"), named("r", F.col("source_system") != "IRS990")
     core = lambda p: F.when(F.size(p["core"]) > 0, F.array_join(p["core"], " ")).otherwise(p["normalized"])
     anchor = lambda p: F.array_distinct(F.when(F.size(p["core"]) > 0, p["core"]).otherwise(p["tokens"]))
     of = lambda df, s: df.where(F.col(f"{s}p")["normalized"] != "").select(
         F.col(f"{s}_name").alias("id"), F.array_distinct(words(F.col(f"{s}p"))).alias("words"), F.col(f"{s}p")["normalized"].alias("full"),
         core(F.col(f"{s}p")).alias("core"), anchor(F.col(f"{s}p")).alias("anchor"), F.array_join(F.col(f"{s}p")["qualifiers"], " ").alias("kind"),
     )
-    pairs = like_names(of(a, "l"), of(b, "r"), least, alike).select(F.col("l_id").alias("l_name"), F.col("r_id").alias("r_name"))
-    pairs = cut(pairs).join(a, "l_name").join(b, "r_name").where("lp.normalized <> rp.normalized")
-    names = cut(compared_names(pairs, "lp", "rp").where(F.col("name_score") >= least).select("l_name", "r_name", "name_score", "relationship"))
-    both = names.join(l.select("l_id", "l_name", "la"), "l_name").join(r.select("r_id", "r_name", "ra"), "r_name")
-    return located(both).where(F.col("score") >= least_score)
+    pairs = like_names(of(a, "l"), of(b, "r"), least, alike)
+    if alike == "other":
+        pairs = pairs.unionByName(contained_names(of(a, "l"), of(b, "r")))
+    pairs = cut(pairs.select(F.col("l_id").alias("l_name"), F.col("r_id").alias("r_name"))).join(a, "l_name").join(b, "r_name").where("lp.normalized <> rp.normalized")
+    names = compared_names(pairs, "lp", "rp").where((F.col("name_score") >= least) & (F.lit(alike != "other") | (F.col("relationship") != "similar_name")))
+    names = cut(names.select("l_name", "r_name", "name_score", "relationship"))
+    # records of one name and address have one score, so no more than ``top`` of the right ones count, and the left ones have the same candidates
+    firsts = first_per_group(r.select("r_id", "r_name", "r_at", "ra").join(names.select("r_name").distinct(), "r_name"), ["r_at"], [F.asc("r_id")], top)
+    places = l.select("l_name", "l_at", "la").join(names.select("l_name").distinct(), "l_name").dropDuplicates(["l_at"])
+    both = located(names.join(places, "l_name").join(firsts, "r_name")).where(F.col("score") >= least_score)
+    best = first_per_group(both, ["l_at"], [F.desc("score"), F.asc("r_id")], top)
+    return best.join(l.select("l_id", "l_at"), "l_at").select("l_id", "r_id", "score", "relationship", "location", "tier")
 
 
 def token_candidates(observations: DataFrame, least_score: float = 0.92, least_letters: int = 5, top: int = 25) -> DataFrame:
     """Candidates that share a long word but not the whole name: the best ``top`` of each filer record, ties by the outside record."""
-    left, right = _sides(observations)
     long = lambda p: F.filter(F.split(p["normalized"], " "), lambda w: F.length(w) >= least_letters)
     # names of other regions are capped below what a near location could make up for
-    df = _scored_pairs(left, right, long, least_score, "same" if 0.8 * ONE_REGION + 0.2 < least_score else "any")
-    return first_per_group(df, ["l_id"], [F.desc("score"), F.asc("r_id")], top).select("l_id", "r_id", "score", "relationship", "location", "tier")
+    return _best_pairs(observations, long, least_score, "same" if 0.8 * ONE_REGION + 0.2 < least_score else "any", top)
 
 
 def relationship_candidates(observations: DataFrame, least_score: float = 0.78, top: int = 25) -> DataFrame:
     """Candidates that share a core word and look like affiliates, parents or aliases rather than just alike."""
-    left, right = _sides(observations)
     core = lambda p: F.when(F.size(p["core"]) > 0, p["core"]).otherwise(p["tokens"])
-    df = _scored_pairs(left, right, core, least_score, "other").where(F.col("relationship") != "similar_name")
-    return first_per_group(df, ["l_id"], [F.desc("score"), F.asc("r_id")], top).select("l_id", "r_id", "score", "relationship", "location", "tier")
+    return _best_pairs(observations, core, least_score, "other", top)
 
 
 def ordered_candidates(found: DataFrame, matcher: str) -> DataFrame:

@@ -7,12 +7,15 @@ matching blocks are a common subsequence, and a common subsequence is no longer
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded, cut, discard
+
 #: Left names of one word that meet its right names in one block, pairs that are bounded at once, and rows in a group of blocks.
 BLOCK, AT_ONCE, GROUP = 8000, 1 << 21, 50_000
 #: Letters, digits and the blank; longer names than ``BITS`` are not bounded by subsequences.
@@ -75,15 +78,21 @@ def like_names(left: DataFrame, right: DataFrame, least: float, alike: str) -> D
     """(l_id, r_id): pairs of two tables that share a word and whose name score can reach ``least``.
 
     Tables have id (long), words (distinct words that join), full, core (texts), anchor (distinct words whose overlap counts) and kind (text: the regions named).
-    ``alike``: "same" asks for the same kind, "other" for another kind, or else an overlap of 0.8 of the smaller ``anchor``, "any" for neither.
+    ``alike``: "same" asks for the same kind, "other" for another kind, "any" for neither.
 
-    Words of many names are cut into blocks of at most ``BLOCK`` left names, each with all right names of the word.
+    Words of many names are cut into blocks of at most ``BLOCK`` left names, each with all right names of the word; only names of kinds that may meet are paired.
     """
     fields = ["id", "full", "core", "anchor", "kind"]
     a, b = (df.select(*fields, F.explode("words").alias("w")) for df in (left, right))
-    sizes = a.groupBy("w").agg(F.count("*").alias("na")).join(b.groupBy("w").agg(F.count("*").alias("nb")), "w")
+    of = lambda df, s: df.groupBy("w").agg(F.count("*").alias(f"n{s}"), F.min("kind").alias(f"least_{s}"), F.max("kind").alias(f"most_{s}"))
+    sizes = of(a, "a").join(of(b, "b"), "w")
+    if alike == "other":
+        # words whose names are all of one kind bring nothing
+        sizes = sizes.where((F.least("least_a", "least_b") != F.greatest("most_a", "most_b")))
     sizes = sizes.withColumn("salts", F.ceil(F.col("na") / BLOCK).cast("int"))
     rows = sizes.agg(F.sum(F.col("na") + F.col("nb") * F.col("salts"))).first()[0] or 0
+    if not rows:
+        return left.sparkSession.createDataFrame([], "l_id long, r_id long")
     groups = max(2 * left.sparkSession.sparkContext.defaultParallelism, -(-rows // GROUP))
     salts = sizes.select("w", "salts")
     group = F.pmod(F.xxhash64("w", "salt"), F.lit(groups)).alias("g")
@@ -116,6 +125,10 @@ def like_names(left: DataFrame, right: DataFrame, least: float, alike: str) -> D
                 both[np.ix_(x, y)] += 1
         return both
 
+    def meeting(i: np.ndarray, j: np.ndarray, a_kind: np.ndarray, b_kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in [None] if alike == "any" else np.unique(a_kind[i]):
+            yield (i, j) if k is None else (i[a_kind[i] == k], j[(b_kind[j] == k) == (alike == "same")])
+
     def found(x: pa.Table, y: pa.Table) -> pa.Table:
         a_id, a_full, a_core, a_size, a_words, a_kind, a_at = sides(x)
         b_id, b_full, b_core, b_size, b_words, b_kind, b_at = sides(y)
@@ -123,28 +136,71 @@ def like_names(left: DataFrame, right: DataFrame, least: float, alike: str) -> D
         a_kind, b_kind = (np.array([codes[k] for k in c], np.int32) for c in (a_kind, b_kind))
         hits: list[np.ndarray] = []
         for key in a_at.keys() & b_at.keys():
-            all_a, j = np.array(a_at[key]), np.array(b_at[key])
-            step = max(1, AT_ONCE // len(j))
-            for start in range(0, len(all_a), step):
-                i = all_a[start : start + step]
-                both = shared(i, j, a_words, b_words)
-                same = a_kind[i][:, None] == b_kind[j][None, :]
-                on = True if alike == "any" else same if alike == "same" else ~same | (both >= 0.8 * np.minimum(a_size[i][:, None], b_size[j][None, :]) - SLACK)
-                sums = a_size[i][:, None] + b_size[j][None, :]
-                near = both * np.float32(1 + overlap) >= (overlap * sums - SLACK).astype(np.float32)
-                open_ = on & ~near
-                r, c = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
-                near[np.ix_(r, c)] |= letters_ratio(a_full, i[r], b_full, j[c]) >= least - SLACK
-                n, m = np.nonzero(on & near)
-                if not len(n):
+            for all_a, j in meeting(np.array(a_at[key]), np.array(b_at[key]), a_kind, b_kind):
+                if not len(j):
                     continue
-                jaccard = both[n, m] / np.maximum(sums[n, m] - both[n, m], 1)
-                p, q = i[n], j[m]
-                good = subsequence_ratio(a_full, p, b_full, q) >= least - SLACK
-                rest = np.flatnonzero(~good & (jaccard >= overlap - SLACK))
-                good[rest] = 0.6 * subsequence_ratio(a_core, p[rest], b_core, q[rest]) + 0.4 * jaccard[rest] >= least - SLACK
-                hits.append(np.stack([a_id[p[good]], b_id[q[good]]]))
+                step = max(1, AT_ONCE // len(j))
+                for start in range(0, len(all_a), step):
+                    i = all_a[start : start + step]
+                    both = shared(i, j, a_words, b_words)
+                    sums = a_size[i][:, None] + b_size[j][None, :]
+                    near = both * np.float32(1 + overlap) >= (overlap * sums - SLACK).astype(np.float32)
+                    r, c = np.flatnonzero(~near.all(1)), np.flatnonzero(~near.all(0))
+                    near[np.ix_(r, c)] |= letters_ratio(a_full, i[r], b_full, j[c]) >= least - SLACK
+                    n, m = np.nonzero(near)
+                    if not len(n):
+                        continue
+                    jaccard = both[n, m] / np.maximum(sums[n, m] - both[n, m], 1)
+                    p, q = i[n], j[m]
+                    good = subsequence_ratio(a_full, p, b_full, q) >= least - SLACK
+                    rest = np.flatnonzero(~good & (jaccard >= overlap - SLACK))
+                    good[rest] = 0.6 * subsequence_ratio(a_core, p[rest], b_core, q[rest]) + 0.4 * jaccard[rest] >= least - SLACK
+                    hits.append(np.stack([a_id[p[good]], b_id[q[good]]]))
         ids = np.unique(np.concatenate(hits, 1), axis=1) if hits else np.zeros((2, 0), np.int64)
         return pa.table({"l_id": ids[0].astype(np.int64), "r_id": ids[1].astype(np.int64)})
 
     return a.groupBy("g").cogroup(b.groupBy("g")).applyInArrow(found, "l_id long, r_id long").distinct()
+
+
+def contained_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l_id, r_id): pairs of two tables (as for ``like_names``) of the same kind where the smaller ``anchor`` has 0.8 of its words in the other and cores can be 0.8 alike.
+
+    Of the m words of the smaller anchor at most e = m - 0.8 m are missing in the other, so two of any e + 2 are there. The e + 2 rarest of each name
+    are taken, two at a time, and names of the other table come by all their words, two at a time: no pairs are formed by the common words of longer names.
+    Names of one word come by that word. What two such names share is then bounded by two bits a word, and their likeness by the longest subsequence.
+    """
+    names = [df.select("id", "kind", "core", "anchor").where(F.size("anchor") > 0) for df in (left, right)]
+    words = names[0].select(F.lit(0).alias("side"), "id", F.explode("anchor").alias("w")).unionByName(names[1].select(F.lit(1).alias("side"), "id", F.explode("anchor").alias("w")))
+    known = words.groupBy("w").agg(F.count("*").alias("n"))
+    ranked = words.join(known, "w").groupBy("side", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: F.xxhash64(x["w"])).alias("codes"))
+    of = names[0].select(F.lit(0).alias("side"), "id", "kind", F.length("core").alias("n")).unionByName(names[1].select(F.lit(1).alias("side"), "id", "kind", F.length("core").alias("n")))
+    bits = [F.expr(f"aggregate(codes, 0L, (s, c) -> s | shiftleft(1L, cast(pmod(shiftright(c, {at}), 64) AS int)))").alias(f"bits{at}") for at in (0, 8)]
+    size = F.size("codes")
+    every = cut(ranked.join(of, ["side", "id"]).select("side", "id", "n", size.alias("m"), (size - F.ceil(size * 4 / 5).cast("int")).alias("e"), F.xxhash64("kind").alias("kind"), *bits, "codes"))
+    twos = "flatten(transform(sequence(1, size({0}) - 1), i -> transform(slice({0}, i + 1, size({0})), c -> c ^ {0}[i - 1] ^ kind)))"
+    pairs = []
+    for n, m in ((0, 1), (1, 0)):
+        x, y = every.where(F.col("side") == n), every.where(F.col("side") == m)
+        some = x.where("m > 1").withColumn("codes", F.slice("codes", F.lit(1), F.col("e") + 2))
+        by_two = some.select(F.expr(f"explode({twos.format('codes')})").alias("key"), "id", "n", "m", "e", "bits0", "bits8")
+        of_two = y.where("m > 1").select(F.expr(f"explode({twos.format('codes')})").alias("key"), F.col("id").alias("y"), F.col("n").alias("yn"), F.col("m").alias("ym"), F.col("bits0").alias("ybits0"), F.col("bits8").alias("ybits8"))
+        by_one = x.where("m = 1").select(F.expr("codes[0] ^ kind").alias("key"), "id", "n", "m", "e", "bits0", "bits8")
+        of_one = y.select(F.expr("explode(transform(codes, c -> c ^ kind))").alias("key"), F.col("id").alias("y"), F.col("n").alias("yn"), F.col("m").alias("ym"), F.col("bits0").alias("ybits0"), F.col("bits8").alias("ybits8"))
+        for few, many in ((by_two, of_two), (bounded(by_one), of_one)):
+            # equal sizes meet from the left
+            near = few.join(many, "key").where(f"{'m <= ym' if n == 0 else 'm < ym'} AND 3 * least(n, yn) >= 2 * greatest(n, yn) AND bit_count(bits0 & ~ybits0) <= e AND bit_count(bits8 & ~ybits8) <= e")
+            pairs.append(near.select(F.col("id" if n == 0 else "y").alias("l_id"), F.col("y" if n == 0 else "id").alias("r_id")))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.arange(b.num_rows)
+            good = np.flatnonzero(subsequence_ratio(Texts(b.column(2)), at, Texts(b.column(3)), at) >= 0.8 - SLACK)
+            yield b.select(["l_id", "r_id"]).take(pa.array(good))
+
+    # by left names at once, for each pair once and for the join that follows
+    found = reduce(DataFrame.unionByName, pairs).repartition("l_id").distinct()
+    for s, df in zip("lr", names, strict=True):
+        found = found.join(df.select(F.col("id").alias(f"{s}_id"), F.col("core").alias(s)), f"{s}_id")
+    found = cut(found.select("l_id", "r_id", "l", "r").mapInArrow(alike, "l_id long, r_id long"))
+    discard(every)
+    return found

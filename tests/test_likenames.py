@@ -47,3 +47,28 @@ def test_common_words_bring_few_pairs(spark):
     names = {r.id: r.full for r in a.unionByName(b).collect()}
     alike = {(x.id, y.id) for x in a.collect() for y in b.collect() if SequenceMatcher(None, names[x.id], names[y.id]).ratio() >= 0.9}
     assert alike <= got and len(got) < 3000
+
+
+def test_names_of_one_kind_meet_by_two_rare_words_only(spark):
+    """Aliases are found without pairing all names that share a common word."""
+    places, things = ["forks", "harbor", "meadows", "ridge"], ["dental hygienists", "food bank", "credit unions"]
+    rng = random.Random(3)
+    stem = lambda: "".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(6, 9)))
+    a, b = [("foundation", "")], [("foundation", ""), ("foundation fund", ""), ("foundation pacific", "pacific")]
+    for _ in range(120):
+        words = [stem(), rng.choice(places), *rng.choice(things).split(), "foundation"]
+        near = [words[0][:-1] + "1" if rng.random() < 0.5 else words[0], *words[1:]]
+        a.append((" ".join(words), ""))
+        b += [(" ".join([*near, "charitable"]), ""), (" ".join(near[:4]), ""), (" ".join([*near, "of", "many", "further", "small", "trusts"]), "")]
+    of = lambda rows: spark.createDataFrame([(n, t.split(), t, t, list(dict.fromkeys(t.split())), k) for n, (t, k) in enumerate(rows)], "id long, words array<string>, full string, core string, anchor array<string>, kind string")
+    left, right = of(a), of(b)
+    want = set()
+    for i, (x, k) in enumerate(a):
+        for j, (y, q) in enumerate(b):
+            p, r = set(x.split()), set(y.split())
+            if k == q and len(p & r) >= 0.8 * min(len(p), len(r)) and SequenceMatcher(None, x, y).ratio() >= 0.8:
+                want.add((i, j))
+    got = {tuple(r) for r in likenames.contained_names(left, right).collect()}
+    assert want <= got and len(got) < 2 * len(want) and (0, 0) in want
+    other = likenames.like_names(left, right, 0.5, "other").collect()
+    assert {(r.l_id, r.r_id) for r in other} >= {(0, 2)} and all(r.r_id == 2 for r in other)
