@@ -2,9 +2,9 @@
 
 A classifier learned from the labelled table gives each document a posterior over the domains that the
 targets name, and one for all others. Documents are judged by a model learned from the other half of the table; the recorded
-source is evidence beside the text, of weight ``TRUST``. Documents of like posteriors form cells, bounded in number by
-the settings; nonnegative rates of the cells, at most the allowed repeats, are fitted by projected-gradient least squares so that
-the expected domain totals meet the targets. Rates become whole copies by a hash of the document, with one
+source is evidence beside the text, of weight ``TRUST``. Each document has nonnegative rates of its own, at most the allowed repeats,
+fitted by projected-gradient least squares so that the expected domain totals meet the targets: a pass over all documents a
+step. Rates become whole copies by a hash of the document, with one
 threshold per mix and source that makes the copies sum up to what the rates promise.
 """
 
@@ -27,9 +27,12 @@ REST = "\x00rest"
 TRUST = 0.9999
 #: Words of all documents that every domain is taken to have said besides its own.
 SHRINK = 5000.0
-#: Steps of confidence by which cells differ, and parts of the hash of a document.
-STEPS, PARTS = 10, 1024
-ROUNDS, HALVINGS = 2000, 30
+#: Steps between whole copies at which a threshold may lie, and values of the hash of a document.
+PARTS, HASHES = 1024, 1 << 20
+#: Passes of the fit at most, and the share of the squared misses by which a pass must lower them, or which are nothing beside the targets.
+ROUNDS, LEAST_GAIN, NOTHING = 20, 1e-3, 1e-9
+#: Steps of the sketch that the fit sets out from, and steps of confidence that it tells apart.
+SKETCH_ROUNDS, STEPS = 2000, 10
 
 
 def posteriors(documents: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", label: str = "source", trust: float = TRUST, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -103,22 +106,82 @@ def posteriors(documents: DataFrame, domains: list[str], key: str = "doc_id", te
     return df.select("k", "s", "h", "n_tokens", "half").mapInArrow(judge, f"k {kind}, s string, n_tokens int, p array<float>, guess int").select(F.col("k").alias(key), F.col("s").alias(label), "n_tokens", "p", "guess")
 
 
-def fitted(mass: np.ndarray, target: np.ndarray, cap: np.ndarray) -> np.ndarray:
-    """Rates (mixes x cells) between 0 and ``cap`` whose expected totals (rates @ ``mass``, cells x domains in tokens) are nearest to ``target``.
+class Rates:
+    """Rates of documents in each mix after some steps of projected gradient: from a start that their memberships give, each step clipped to 0 and ``cap`` (mixes x domains)."""
 
-    Projected gradient of the squared misses, each over the size of its domain. A document's rate moves by what its own membership says, whatever
-    its length; memberships sum to 1, so a step of 1 never overshoots.
+    def __init__(self, start: np.ndarray, cap: np.ndarray):
+        self.steps, self.cap = [start], cap
+
+    def of(self, p: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """(documents x mixes) of documents with memberships ``p`` that count as ``own``."""
+        cap = self.cap[:, own].T
+        rates = np.zeros((len(p), len(self.cap)))
+        for step in self.steps:
+            rates = np.clip(rates + p @ step.T, 0, cap)
+        return rates
+
+
+def _members(b: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Memberships, tokens and own domains of a batch with p, n_tokens, own."""
+    p, tokens, own = (b.column(b.schema.get_field_index(c)) for c in ("p", "n_tokens", "own"))
+    return p.flatten().to_numpy().astype(float).reshape(-1, size), tokens.to_numpy().astype(float), own.to_numpy()
+
+
+def _summed(df: DataFrame, f, shape: tuple[int, ...], size: int) -> np.ndarray:
+    """The sum of the arrays of ``shape`` that ``f`` gives of the memberships, tokens and own domains of each batch."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for b in batches:
+            total += f(*_members(b, size))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel()[at])], ["at", "x"])
+
+    out = np.zeros(int(np.prod(shape)))
+    for r in df.mapInArrow(add, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        out[r["at"]] = r.x
+    return out.reshape(shape)
+
+
+def sketched(df: DataFrame, share: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """The sum of the steps (mixes x domains) that the fit takes on documents merged by own and likeliest domain and confidence; only where the fit by document sets out from."""
+    size = share.shape[1]
+    most = F.array_max("p")
+    cell = (F.col("own") * size + F.array_position("p", most).cast("int") - 1) * STEPS + F.least(F.floor(most * STEPS), F.lit(STEPS - 1)).cast("int")
+    sums = df.groupBy(cell.alias("cell")).agg(*[F.sum(F.col("n_tokens") * F.col("p")[n]).alias(f"m{n}") for n in range(size)]).orderBy("cell").toPandas()
+    mass = sums[[f"m{n}" for n in range(size)]].to_numpy(float).reshape(-1, size)
+    top = cap[:, sums.cell.to_numpy(int) // (size * STEPS)]
+    weight, target = np.maximum(mass.sum(0), 1.0), share * mass.sum()
+    member = mass / np.maximum(mass.sum(1), 1e-9)[:, None]
+    steps = target / weight
+    rates = np.clip(steps @ member.T, 0, top)
+    for _ in range(SKETCH_ROUNDS):
+        step = (target - rates @ mass) / weight
+        new = np.clip(rates + step @ member.T, 0, top)
+        if np.abs(new - rates).max(initial=0) < 1e-9:
+            break
+        rates, steps = new, steps + step
+    return steps
+
+
+def fitted(df: DataFrame, share: np.ndarray, cap: np.ndarray) -> Rates:
+    """Rates between 0 and ``cap`` of the documents of ``df`` (p, n_tokens, own) whose expected totals (rate x tokens x membership) are nearest to ``share`` (mixes x domains) of all tokens.
+
+    Projected gradient of the squared misses, each over the size of its domain, for each document by its own membership whatever its length;
+    memberships sum to 1, so a step of 1 never overshoots. The first rates come of a sketch, since rare domains take many steps. The state of the fit are its steps (mixes x domains), so nothing is kept per document.
     """
-    weight = np.maximum(mass.sum(0), 1.0)
-    tokens = np.maximum(mass.sum(1), 1e-9)
-    member = mass / tokens[:, None]
-    rates = np.minimum((target / weight) @ member.T, cap)
+    size = share.shape[1]
+    mass = _summed(df, lambda p, t, own: t @ p, (size,), size)
+    target, weight = share * mass.sum(), np.maximum(mass, 1.0)
+    rates = Rates(sketched(df, share, cap), cap)
+    last = np.inf
     for _ in range(ROUNDS):
-        miss = rates @ mass - target
-        new = np.clip(rates - (miss / weight) @ member.T, 0, cap)
-        if np.abs(new - rates).max(initial=0) < 1e-9:
+        miss = _summed(df, lambda p, t, own: rates.of(p, own).T @ (p * t[:, None]), share.shape, size) - target
+        loss = float((miss**2 / weight).sum())
+        if last - loss <= LEAST_GAIN * loss or loss <= NOTHING * float((target**2 / weight).sum()):
             break
-        rates = new
+        last = loss
+        rates.steps.append(-miss / weight)
     return rates
 
 
@@ -141,55 +204,51 @@ def mixed(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: s
     likeliest = F.array_position("p", F.array_max("p")).cast("int") - 1
     index = F.create_map(*[F.lit(x) for n, d in enumerate(domains) for x in (d, n)])
     own = F.when(F.col("s").isNull(), likeliest).otherwise(F.coalesce(index[F.col("s")], F.lit(size - 1)))
-    # a cell: what the document counts under, its likeliest domain, and how sure that is
-    cell = (own * size + likeliest) * STEPS + F.least(F.floor(F.array_max("p") * STEPS), F.lit(STEPS - 1)).cast("int")
-    df = member.where("n_tokens > 0").select(F.col(key).alias("k"), F.col(source).alias("s"), "n_tokens", "p", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias("part"))
-    df = cut(df.withColumn("cell", cell))
-    sums = df.groupBy("cell", "part").agg(F.sum("n_tokens").alias("t"), *[F.sum(F.col("n_tokens") * F.col("p")[n]).alias(f"m{n}") for n in range(size)]).toPandas()
-    cells = np.unique(sums.cell.to_numpy(int))
-    at = np.searchsorted(cells, sums.cell.to_numpy(int))
-    mass = np.zeros((len(cells), size))
-    np.add.at(mass, at, sums[[f"m{n}" for n in range(size)]].to_numpy(float))
-    tokens = np.zeros((len(cells), PARTS))
-    np.add.at(tokens, (at, sums.part.to_numpy(int)), sums.t.to_numpy(float))
-    counts_as = cells // (size * STEPS)
-    target, cap = np.zeros((len(names), size)), np.zeros((len(names), size))
+    df = member.where("n_tokens > 0").select(F.col(key).alias("k"), F.col(source).alias("s"), "n_tokens", "p", F.pmod(F.xxhash64(key), F.lit(HASHES)).cast("int").alias("part"))
+    df = cut(df.withColumn("own", own.cast("int")))
+    share, cap = np.zeros((len(names), size)), np.zeros((len(names), size))
     for r in rows:
         m, d = names.index(r.mix_name), domains.index(r.source)
-        target[m, d] = r.target_share * r.budget_share * tokens.sum()
+        share[m, d] = r.target_share * r.budget_share
         cap[m, d] = r.max_repeats
-    rates = fitted(mass, target, cap[:, counts_as])
-    u = (np.arange(PARTS) + 0.5) / PARTS
-
-    def copies(m: int, d: int, edge: float) -> np.ndarray:
-        """Copies in mix m by cell (of those that count as d) and part."""
-        on = counts_as == d
-        return np.clip(np.floor(rates[m, on][:, None] + edge - u), 0, cap[m, d])
-
-    edges = np.zeros((len(names), size))
-    for m in range(len(names)):
-        for d in range(size):
-            held = tokens[counts_as == d]
-            goal = float(rates[m, counts_as == d] @ held.sum(1)) if len(held) else 0.0
-            low, high = 0.0, 2.0
-            for _ in range(HALVINGS if goal else 0):
-                edge = (low + high) / 2
-                low, high = (edge, high) if (copies(m, d, edge) * held).sum() < goal else (low, edge)
-            # one part of the documents may make the difference between the two: the nearer to the goal counts
-            off = [abs((copies(m, d, e) * held).sum() - goal) for e in (low, high)]
-            edges[m, d] = low if not goal or off[0] < off[1] else high
+    rates = fitted(df.select("p", "n_tokens", "own"), share, cap)
+
+    def at(rate: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Where a document lies between whole copies, in ``PARTS`` of one."""
+        return np.floor((rate - ((part + 0.5) / HASHES)[:, None]) * PARTS).astype(np.int64)
+
+    # tokens by place between copies, and tokens that the rates promise, of each mix and domain; one table of bounded size
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, t, d = _members(b, size)
+            r = rates.of(p, d)
+            x = at(r, b.column(3).to_numpy())
+            n, m = np.nonzero(cap[:, d].T > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(d[n], pa.int32()), pa.array(x[n, m]), pa.array(t[n]), pa.array(t[n] * r[n, m])], ["m", "d", "x", "t", "goal"])
+
+    sums = df.select("p", "n_tokens", "own", "part").mapInArrow(place, "m int, d int, x long, t double, goal double").groupBy("m", "d", "x").agg(F.sum("t").alias("t"), F.sum("goal").alias("goal")).toPandas()
+    edges = np.zeros((len(names), size), np.int64)
+    for (m, d), held in sums.groupby(["m", "d"]):
+        x, t, goal = held.x.to_numpy(), held.t.to_numpy(), float(held.goal.sum())
+        off = lambda e: float((np.clip((x + e) // PARTS, 0, cap[m, d]) * t).sum()) - goal  # noqa: B023, E731
+        low, high = 0, 2 * PARTS
+        while goal and high - low > 1:
+            edge = (low + high) // 2
+            low, high = (edge, high) if off(edge) < 0 else (low, edge)
+        # the documents at one step may make the difference between the two: the nearer to the goal counts
+        edges[m, d] = low if not goal or abs(off(low)) < abs(off(high)) else high
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.searchsorted(cells, b.column(5).to_numpy())
-            d = counts_as[n]
+            p, _, d = _members(b, size)
+            rate = rates.of(p, d)
+            x = at(rate, b.column(4).to_numpy())
             for m, name in enumerate(names):
-                r = rates[m, n]
-                c = np.clip(np.floor(r + edges[m, d] - u[b.column(4).to_numpy()]), 0, cap[m, d]).astype(int)
+                c = np.clip((x[:, m] + edges[m, d]) // PARTS, 0, cap[m, d]).astype(int)
                 on = np.flatnonzero(c > 0)
                 rows_ = pa.array(on)
                 under = pa.array([domains[x] for x in d[on]], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(on), pa.string()), b.column(0).take(rows_), b.column(1).take(rows_), b.column(2).take(rows_), pa.array(r[on]), pa.array(c[on], pa.int32()), under, b.column(3).take(rows_)], ["mix_name", "k", "s", "n_tokens", "rate", "copies", "domain", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(on), pa.string()), b.column(0).take(rows_), b.column(1).take(rows_), b.column(2).take(rows_), pa.array(rate[on, m]), pa.array(c[on], pa.int32()), under, b.column(3).take(rows_)], ["mix_name", "k", "s", "n_tokens", "rate", "copies", "domain", "p"])
 
     out = df.mapInArrow(take, f"mix_name string, k {kind}, s string, n_tokens int, rate double, copies int, domain string, p array<float>")
     return out.withColumnsRenamed({"k": key, "s": source})

@@ -285,6 +285,19 @@ def test_mix_counts_documents_without_source(spark):
         assert got[s].actual_tokens == pytest.approx(got[s].target_tokens, rel=0.03)
 
 
+def test_mix_rates_are_fitted_by_document(spark):
+    """Documents of one source have rates by their own membership, and expected totals meet the targets."""
+    data = [(n, [0.5 + n / 400, 0.5 - n / 400], 10 + n % 7, 0) for n in range(200)] + [(n, [0.1, 0.9], 10, 1) for n in range(200, 400)]
+    df = spark.createDataFrame(data, "k long, p array<float>, n_tokens int, own int")
+    share, cap = np.array([[0.3, 0.1]]), np.array([[2.0, 2.0]])
+    rates = mixing.fitted(df, share, cap)
+    p, t, own = np.array([r[1] for r in data]), np.array([r[2] for r in data]), np.array([r[3] for r in data])
+    got = rates.of(p, own)[:, 0]
+    assert len({round(x, 6) for x in got[:200]}) == 200
+    assert (got >= 0).all() and (got <= 2).all()
+    assert (got * t) @ p / t.sum() == pytest.approx(share[0], rel=0.05)
+
+
 # matching across sources
 
 OBS = "observation_id long, source_system string, native_identifier string, observed_name string, normalized_name string, state string, zip_code string"
